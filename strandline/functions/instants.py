@@ -32,7 +32,12 @@ def micros(c: Column | str) -> Column:
 
 def epoch_day(us: Column) -> Column:
     """UTC day number of an instant in microseconds (floor, so right before 1970 too)."""
-    return F.floor(us / F.lit(DAY_US)).cast("int")
+    return period_no(us, DAY_US).cast("int")
+
+
+def period_no(us: Column, period_us: int) -> Column:
+    """Number of the period that holds the instant, counted from the epoch; exact, since only a multiple is divided."""
+    return ((us - F.pmod(us, F.lit(period_us).cast("long"))) / F.lit(period_us)).cast("long")
 
 
 def day_string(day: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.instants import DAY_US
+from strandline.functions.instants import DAY_US, period_no
 
 ON_TIME, CORRECTED, DROPPED = "on_time", "corrected", "dropped"
 
@@ -27,7 +27,7 @@ def judged(events: DataFrame, uid: Column, tie: Column, arrived_us: Column, inst
     own = F.when(F.col("u").isNull(), F.col("tie"))
     first = Window.partitionBy("u", own).orderBy(F.asc_nulls_last("a"), "tie")
     once = rows.withColumn("rank", F.row_number().over(first)).filter("rank = 1").filter(F.col("t").isNotNull())
-    period = F.floor(F.col("t") / F.lit(period_us)).cast("long")
+    period = period_no(F.col("t"), period_us)
     late_us = F.col("a") - (period + 1) * F.lit(period_us)
     verdict = F.when(late_us < 0, ON_TIME).when(late_us <= cutoff_s * 1_000_000, CORRECTED).otherwise(DROPPED)
     return once.select("tie", period.alias("period"), "value", verdict.alias("verdict"))
