@@ -54,30 +54,32 @@ def kind_cells(events: DataFrame, by: dict[str, Column], group: Column, uid: Col
 
 
 def pivot_cells(long: DataFrame, by: list[str], kinds: list[tuple[int, str]], as_of_us: int | None = None) -> DataFrame:
-    """One row per combination of ``by``; ``cells`` has one place per kind of the explicit list, null where there is no event.
+    """One row per combination of ``by``; ``cells`` maps each kind of the explicit list that occurs to its cell.
 
     A cell is (n, recency_s, total). Recency runs up to ``as_of_us``, null if that or the last instant is missing.
-    An entity's group holds at most one row per kind, so its size is bounded by the list.
+    Kinds outside the list are left out, so a row holds at most as many cells as the list is long.
     """
-    spot = {no: i for i, (no, _) in enumerate(kinds)}
     recency = (F.lit(as_of_us).cast("long") - F.col("last_us")) / F.lit(1e6)
+    listed = F.col("kind_no").isin([no for no, _ in kinds])
     cell = F.struct("n", recency.alias("recency_s"), "total")
-    found = long.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("kind_no", cell.alias("cell")))).alias("_found"))
-    listed = F.array(*(F.lit(no) for no in spot))
-    return found.select(*by, F.transform(listed, lambda no: F.try_element_at(F.col("_found"), no)).alias("cells"))
+    return long.filter(listed).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("kind_no", cell.alias("cell")))).alias("cells"))
 
 
 def wide_columns(pivoted: DataFrame, by: list[str], kinds: list[tuple[int, str]]) -> DataFrame:
-    """The cells as columns ``n_<kind>``, ``recency_s_<kind>``, ``total_<kind>``: 0, null and 0.0 where there is no event."""
+    """The cells as columns ``n_<kind>``, ``recency_s_<kind>``, ``total_<kind>``: 0, null and 0.0 where there is no event.
+
+    Each cell is looked up once, into an array with one place per kind of the list; the columns read their place.
+    """
+    listed = F.array(*(F.lit(no) for no, _ in kinds))
+    dense = pivoted.select(*by, F.transform(listed, lambda no: F.try_element_at(F.col("cells"), no)).alias("_dense"))
     out = []
     for i, (_, name) in enumerate(kinds):
-        c = F.get(F.col("cells"), F.lit(i))
+        c = F.get(F.col("_dense"), F.lit(i))
         out += [F.coalesce(c["n"], F.lit(0)).alias(f"n_{name}"), c["recency_s"].alias(f"recency_s_{name}"), F.coalesce(c["total"], F.lit(0.0)).alias(f"total_{name}")]
-    return pivoted.select(*by, *out)
+    return dense.select(*by, *out)
 
 
-def filled_cells(pivoted: DataFrame, by: list[str], kinds: list[tuple[int, str]]) -> DataFrame:
+def filled_cells(pivoted: DataFrame, by: list[str]) -> DataFrame:
     """The non-empty cells of the pivoted table, as rows (``by``, kind_no, n, recency_s, total)."""
-    numbers = F.array(*(F.lit(no) for no, _ in kinds))
-    rows = pivoted.select(*by, F.posexplode("cells").alias("_i", "_cell")).filter(F.col("_cell").isNotNull())
-    return rows.select(*by, F.get(numbers, F.col("_i")).alias("kind_no"), "_cell.n", "_cell.recency_s", "_cell.total")
+    rows = pivoted.select(*by, F.explode("cells").alias("kind_no", "_cell"))
+    return rows.select(*by, "kind_no", "_cell.n", "_cell.recency_s", "_cell.total")

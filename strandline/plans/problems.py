@@ -45,27 +45,27 @@ def p1_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("key").alias("partition_key"), start.alias("start_s"), end.alias("end_s"), (end - start).alias("duration_s"), "n_items", "n_events")
 
 
-def _cells(spark: SparkSession, folder: str, with_dims: bool) -> tuple[DataFrame, list[str], list[tuple[int, str]], int | None]:
+def _cells(spark: SparkSession, folder: str, with_dims: bool) -> tuple[DataFrame, list[str], list[tuple[int, str]]]:
     log = table(spark, folder, "key_log")
     kinds = features.kind_list(table(spark, folder, "event_kinds"))
     by = {"key_identity": F.col("key_identity")} | ({"dims": joined_dims("key_dimensions")} if with_dims else {})
     long = features.kind_cells(log, by, F.col("key_group"), F.col("event_uid"), F.col("event_value"), log_instant(), kinds)
     as_of = log.agg(F.max(log_instant())).first()[0]
-    return features.pivot_cells(long, list(by), kinds, as_of), list(by), kinds, as_of
+    return features.pivot_cells(long, list(by), kinds, as_of), list(by), kinds
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pivoted, by, kinds, _ = _cells(spark, folder, with_dims=True)
-    return features.filled_cells(pivoted, by, kinds).select("key_identity", "kind_no", "dims")
+    pivoted, by, _ = _cells(spark, folder, with_dims=True)
+    return features.filled_cells(pivoted, by).select("key_identity", "kind_no", "dims")
 
 
 def p2_cells(spark: SparkSession, folder: str) -> DataFrame:
-    pivoted, by, kinds, _ = _cells(spark, folder, with_dims=False)
-    return features.filled_cells(pivoted, by, kinds).select("key_identity", "kind_no", "n", F.round("recency_s", 3).alias("recency_s"), F.round("total", 4).alias("total"))
+    pivoted, by, _ = _cells(spark, folder, with_dims=False)
+    return features.filled_cells(pivoted, by).select("key_identity", "kind_no", "n", F.round("recency_s", 3).alias("recency_s"), F.round("total", 4).alias("total"))
 
 
 def p2_feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    pivoted, by, kinds, _ = _cells(spark, folder, with_dims=False)
+    pivoted, by, kinds = _cells(spark, folder, with_dims=False)
     return features.wide_columns(pivoted, by, kinds)
 
 
