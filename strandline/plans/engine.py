@@ -179,7 +179,7 @@ class _Events:
                 return self.attributes.get(name, none_value())
             other = self.spec.aggregate(base)
             if other is None:
-                if base in _IMPORTED:
+                if base.partition(".")[0] in ("source", *_IMPORTED):
                     return None
                 raise UnknownName(base)
             if condition and other.name == agg.name:
@@ -301,7 +301,7 @@ class Engine:
         def attribute(base: str, name: str) -> V | None:
             if base == "source":
                 return attributes.get(name, none_value())
-            if base in _IMPORTED:
+            if base.partition(".")[0] in ("source", *_IMPORTED):
                 return None
             raise UnknownName(base)
 
