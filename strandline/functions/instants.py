@@ -49,6 +49,11 @@ def plain_kind(c: Column | str) -> Column:
     return F.translate(F.lower(_col(c)), " _-.", "")
 
 
+def plain_name(name: str) -> str:
+    """``plain_kind`` of a string at hand."""
+    return name.lower().translate(str.maketrans("", "", " _-."))
+
+
 def joined_dims(c: Column | str) -> Column:
     """Non-null elements in order, joined by ``|``; an empty string for none or a null list."""
     return F.coalesce(F.array_join(_col(c), "|"), F.lit(""))

@@ -123,7 +123,10 @@ def _merge(rule: str, c: Column, order: Column) -> Column:
         return {"sum": F.sum, "max": F.max, "min": F.min, "any": F.bool_or}[rule](c)
     if rule == "last":
         return F.max_by(c, F.when(c.isNotNull(), order))
-    lists = _in_order(c, order)
+    if rule in ("increment", "put"):
+        lists = F.transform(_in_order(F.map_entries(c), order), F.map_from_entries)  # entries can be sorted along, maps cannot
+    else:
+        lists = _in_order(c, order)
     if rule in ("append", "extend"):
         return F.flatten(lists)
     if rule == "add":

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.instants import nonblank, plain_kind
+from strandline.functions.instants import nonblank, plain_kind, plain_name
 
 MOST_KINDS = 10_000
 
@@ -30,7 +30,7 @@ def with_kind(events: DataFrame, group: Column, kinds: list[tuple[int, str]]) ->
     spark = events.sparkSession
     plain: dict[str, int] = {}
     for no, name in kinds:
-        plain.setdefault(name.lower().translate(str.maketrans("", "", " _-.")), no)
+        plain.setdefault(plain_name(name), no)
     names = spark.createDataFrame([(k, v) for k, v in plain.items()], "_plain string, _kind_no int")
     return events.withColumn("_plain", plain_kind(group)).join(F.broadcast(names), "_plain").drop("_plain")
 

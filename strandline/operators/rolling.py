@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.instants import epoch_day, nonblank
-from strandline.operators.features import kind_list, with_kind
+from strandline.functions.instants import epoch_day, nonblank, plain_name
+from strandline.operators.features import with_kind
 
 
 def daily(events: DataFrame, entity: Column, instant_us: Column, value: Column, uid: Column) -> DataFrame:
@@ -61,9 +61,9 @@ def anchored(totals: DataFrame, events: DataFrame, entity: Column, instant_us: C
     from strandline.tables import bounded_rows
 
     rows = bounded_rows(specs.select("anchor_no", "anchor_group", "anchor_max").filter("anchor_no is not null and anchor_group is not null"), 10_000, "the list of anchors")
-    kinds = sorted({(i, name) for i, name in enumerate(sorted({r.anchor_group for r in rows}))})
-    number = {name: i for i, name in kinds}
-    wanted = specs.sparkSession.createDataFrame([(r.anchor_no, number[r.anchor_group], r.anchor_max) for r in rows], "anchor_no int, _kind_no int, anchor_max int")
+    number = {plain: i for i, plain in enumerate(sorted({plain_name(r.anchor_group) for r in rows}))}
+    kinds = [(i, plain) for plain, i in number.items()]
+    wanted = specs.sparkSession.createDataFrame([(r.anchor_no, number[plain_name(r.anchor_group)], r.anchor_max) for r in rows], "anchor_no int, _kind_no int, anchor_max int")
     found = with_kind(events.select(entity.cast("string").alias("entity"), instant_us.alias("anchor_us"), group.alias("_g"), uid.alias("_u"), tie.alias("tie")), F.col("_g"), kinds)
     found = found.filter(nonblank("entity") & F.col("anchor_us").isNotNull()).withColumn("day", epoch_day(F.col("anchor_us")))
     own = F.when(F.col("_u").isNull(), F.col("tie"))
@@ -72,6 +72,3 @@ def anchored(totals: DataFrame, events: DataFrame, entity: Column, instant_us: C
     rank = F.row_number().over(Window.partitionBy("entity", "day", "anchor_no").orderBy("anchor_us", "tie"))
     kept = placed.withColumn("_rank", rank).filter(F.col("anchor_max").isNull() | (F.col("_rank") <= F.col("anchor_max")))
     return kept.select("anchor_no", "entity", "day", "anchor_us", "tie").join(totals, ["entity", "day"])
-
-
-__all__ = ["anchored", "daily", "densify", "kind_list", "rolling_totals", "trailing"]

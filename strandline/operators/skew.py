@@ -71,38 +71,54 @@ def plan_loads(loads: DataFrame, n_tasks: int, fineness: int = 8) -> LoadPlan:
     return LoadPlan(n_tasks, total, split, bucket_tasks, task_loads)
 
 
-def _tasks(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
-    """``df`` with ``_tasks``, the tasks of the row's key. The plan table has at most ``fineness * n_tasks`` rows."""
+def _fresh(df: DataFrame, name: str) -> str:
+    """``name``, or something like it that no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _with_tasks(df: DataFrame, key: str, plan: LoadPlan) -> tuple[DataFrame, str]:
+    """``df`` and the name of a new column with the tasks of the row's key. The plan table has at most ``fineness * n_tasks`` rows."""
     spark = df.sparkSession
-    split = spark.createDataFrame(list(plan.split.items()), "_planned string, _split array<int>")
+    planned, split, tasks = (_fresh(df, n) for n in ("_planned", "_split", "_tasks"))
+    singles = spark.createDataFrame(list(plan.split.items()), f"`{planned}` string, `{split}` array<int>")
     bucket = F.pmod(F.xxhash64(key), F.lit(len(plan.bucket_tasks))).cast("int")
     other = F.array(F.get(F.lit(plan.bucket_tasks), bucket))
-    planned = df.join(F.broadcast(split), F.col(key) == F.col("_planned"), "left")
-    return planned.withColumn("_tasks", F.coalesce("_split", other)).drop("_planned", "_split")
+    joined = df.join(F.broadcast(singles), F.col(key) == F.col(planned), "left")
+    return joined.withColumn(tasks, F.coalesce(split, other)).drop(planned, split), tasks
 
 
-def to_shards(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
-    """The large side: each row goes to one of its key's tasks, in turn. Adds ``_task``."""
-    turn = F.pmod(F.monotonically_increasing_id(), F.size("_tasks").cast("long")).cast("int")
-    return _tasks(df, key, plan).withColumn("_task", F.get("_tasks", turn)).drop("_tasks")
+def to_shards(df: DataFrame, key: str, plan: LoadPlan, task: str = "_task") -> DataFrame:
+    """The large side: each row goes to one of its key's tasks, in turn. Adds ``task``."""
+    held, tasks = _with_tasks(df, key, plan)
+    turn = F.pmod(F.monotonically_increasing_id(), F.size(tasks).cast("long")).cast("int")
+    return held.withColumn(task, F.get(tasks, turn)).drop(tasks)
 
 
-def to_all_shards(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
-    """The matching side: each row goes to every task that holds a shard of its key, once. Adds ``_task``."""
-    return _tasks(df, key, plan).withColumn("_task", F.explode(F.array_distinct("_tasks"))).drop("_tasks")
+def to_all_shards(df: DataFrame, key: str, plan: LoadPlan, task: str = "_task") -> DataFrame:
+    """The matching side: each row goes to every task that holds a shard of its key, once. Adds ``task``."""
+    held, tasks = _with_tasks(df, key, plan)
+    return held.withColumn(task, F.explode(F.array_distinct(tasks))).drop(tasks)
 
 
 def balanced_join(large: DataFrame, small: DataFrame, key: str, plan: LoadPlan, how: str = "left") -> DataFrame:
     """``large`` joined with ``small`` on the string column ``key``, without a task that has far more rows than the others.
 
     Equal to the plain join, with the key once. Null and blank keys of ``large`` match nothing: kept for "left",
-    dropped for "inner". ``small`` may repeat keys. Clashing other column names must be resolved by the caller.
+    dropped for "inner". ``small`` may repeat keys. Other columns of ``small`` that ``large`` has too get a ``_small`` suffix.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    left = to_shards(large, key, plan).repartitionById(plan.n_tasks, F.col("_task"))
-    right = to_all_shards(small.filter(nonblank(key)), key, plan).repartitionById(plan.n_tasks, F.col("_task"))
-    return left.join(right, ["_task", key], how).drop("_task")
+    taken = {c.lower() for c in large.columns}
+    for c in small.columns:
+        if c != key and c.lower() in taken:
+            small = small.withColumnRenamed(c, _fresh(large, f"{c}_small"))
+    task = _fresh(small, _fresh(large, "_task"))
+    left = to_shards(large, key, plan, task).repartitionById(plan.n_tasks, F.col(task))
+    right = to_all_shards(small.filter(nonblank(key)), key, plan, task).repartitionById(plan.n_tasks, F.col(task))
+    return left.join(right, [task, key], how).drop(task)
 
 
 def balanced_counts(df: DataFrame, key: Column, plan: LoadPlan) -> DataFrame:

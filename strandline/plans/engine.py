@@ -400,6 +400,11 @@ class Engine:
             return simple[f.type]
         back = {"int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "dt": T.TimestampType()}
         elem, key = "str", "str"
+        try:
+            whole = ev.compiler(agg, None).compile(f.value)
+            elem, key = whole.elem or elem, whole.key or key
+        except (Unsupported, UnknownName):
+            pass
         for n in ast.walk(ast.parse(f.value, mode="eval")):
             if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.args:
                 try:

@@ -20,15 +20,16 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     Lines that are no JSON object are dropped. Without a schema the types are inferred in a pass of their own.
     """
     bad = "_corrupt_line"
-    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
     paths = [paths] if isinstance(paths, str) else list(paths)
     if schema is None:
-        schema = reader.json(paths).schema
+        schema = spark.read.option("columnNameOfCorruptRecord", bad).json(paths).schema
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    plain = T.StructType([f for f in schema if f.name != bad])
-    df = reader.schema(T.StructType([*plain, T.StructField(bad, T.StringType())])).json(paths)
-    return df.filter(F.col(bad).isNull()).drop(bad).withColumn("_order", F.monotonically_increasing_id())
+    plain = [f for f in schema if f.name != bad]
+    shape = T.StructType([*plain, T.StructField(bad, T.StringType())])
+    lines = spark.read.text(paths).filter(F.ltrim("value").startswith("{")).withColumn("_order", F.monotonically_increasing_id())
+    parsed = lines.select(F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"), "_order")
+    return parsed.filter(F.col(f"r.{bad}").isNull()).select(*(F.col(f"r.`{f.name}`") for f in plain), "_order")
 
 
 def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
