@@ -68,15 +68,13 @@ def pivot_cells(long: DataFrame, by: list[str], kinds: list[tuple[int, str]], as
 def wide_columns(pivoted: DataFrame, by: list[str], kinds: list[tuple[int, str]]) -> DataFrame:
     """The cells as columns ``n_<kind>``, ``recency_s_<kind>``, ``total_<kind>``: 0, null and 0.0 where there is no event.
 
-    Each cell is looked up once, into an array with one place per kind of the list; the columns read their place.
+    The lookups are plain expressions in generated code, over a map that holds only the entity's own kinds.
     """
-    listed = F.array(*(F.lit(no) for no, _ in kinds))
-    dense = pivoted.select(*by, F.transform(listed, lambda no: F.try_element_at(F.col("cells"), no)).alias("_dense"))
     out = []
-    for i, (_, name) in enumerate(kinds):
-        c = F.get(F.col("_dense"), F.lit(i))
+    for no, name in kinds:
+        c = F.try_element_at("cells", F.lit(no))
         out += [F.coalesce(c["n"], F.lit(0)).alias(f"n_{name}"), c["recency_s"].alias(f"recency_s_{name}"), F.coalesce(c["total"], F.lit(0.0)).alias(f"total_{name}")]
-    return dense.select(*by, *out)
+    return pivoted.select(*by, *out)
 
 
 def filled_cells(pivoted: DataFrame, by: list[str]) -> DataFrame:
