@@ -69,6 +69,9 @@ def anchored(totals: DataFrame, events: DataFrame, entity: Column, instant_us: C
     own = F.when(F.col("_u").isNull(), F.col("tie"))
     once = found.withColumn("_own", own).groupBy("_u", "_own", "entity", "day", "_kind_no").agg(F.min("anchor_us").alias("anchor_us"), F.min("tie").alias("tie"))
     placed = once.join(F.broadcast(wanted), "_kind_no")
+    # A fixed bound on the rank lets each task drop what cannot be kept before anything is moved; uncapped specs need no rank.
+    most = max((r.anchor_max for r in rows if r.anchor_max is not None), default=0)
     rank = F.row_number().over(Window.partitionBy("entity", "day", "anchor_no").orderBy("anchor_us", "tie"))
-    kept = placed.withColumn("_rank", rank).filter(F.col("anchor_max").isNull() | (F.col("_rank") <= F.col("anchor_max")))
+    capped = placed.filter(F.col("anchor_max").isNotNull()).withColumn("_rank", rank).filter(F.col("_rank") <= most).filter(F.col("_rank") <= F.col("anchor_max"))
+    kept = placed.filter(F.col("anchor_max").isNull()).unionByName(capped.drop("_rank"))
     return kept.select("anchor_no", "entity", "day", "anchor_us", "tie").join(totals, ["entity", "day"])

@@ -42,12 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: one computation, no lineage.
 
-    The files survive lost executors. They stay until the folder is cleared by its owner.
+    The files survive lost executors. They stay until the folder is cleared by its owner. ``arrow_rows`` bounds the rows
+    that Python functions in ``df`` get at a time, for rows that may be large; the session's own setting comes back after.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if arrow_rows is not None:
+            spark.conf.set(key, str(arrow_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

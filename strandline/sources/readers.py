@@ -54,16 +54,13 @@ def ipfix(lines: DataFrame, value: str = "value") -> DataFrame:
     message = "struct<DataSets: array<array<struct<I: string, V: string>>>>"
     parsed = lines.select(F.from_json(F.col(value), message, {"mode": "PERMISSIVE"}).alias("m"))
     sets = parsed.select(F.explode("m.DataSets").alias("elements"))
-    named = F.transform("elements", lambda e: F.struct(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in IPFIX_NAMES.items() for x in kv)), e["I"]), e["I"]).alias("k"), e["V"].alias("v")))
-    known = F.filter(named, lambda e: e["k"].isNotNull())
-    merged = F.reduce(known, F.create_map().cast("map<string,string>"), lambda m, e: F.map_zip_with(m, F.create_map(e["k"], e["v"]), lambda k, a, b: F.coalesce(b, a)))
-    rows = sets.select(merged.alias("m"))
-    get = lambda n: F.try_element_at("m", F.lit(n))
-    out = rows.filter(get("source_mac").isNotNull())
+    rows = sets.select(F.filter("elements", lambda e: e["I"].isNotNull()).alias("e"))
     numbers = {"protocol": "int", "source_port": "int", "dest_port": "int", "timestamp": "bigint"}
-    names = sorted(IPFIX_NAMES.values())
-    other = F.map_filter("m", lambda k, v: ~k.isin(names))
-    return out.select(*(get(n).try_cast(numbers.get(n, "string")).alias(n) for n in names), other.alias("other"))
+    last = lambda number: F.try_element_at(F.filter("e", lambda e: e["I"] == number), F.lit(-1))["V"]
+    names = {name: last(number).try_cast(numbers.get(name, "string")).alias(name) for number, name in sorted(IPFIX_NAMES.items(), key=lambda x: x[1])}
+    rest = F.filter("e", lambda e: ~e["I"].isin(list(IPFIX_NAMES)))
+    other = F.transform(F.array_distinct(F.transform(rest, lambda e: e["I"])), lambda k: F.struct(k.alias("k"), F.try_element_at(F.filter(rest, lambda e: e["I"] == k), F.lit(-1))["V"].alias("v")))
+    return rows.filter(last("56").isNotNull()).select(*names.values(), F.map_from_entries(other).alias("other"))
 
 
 PROCESSORS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
