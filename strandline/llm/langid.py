@@ -302,7 +302,7 @@ def identify(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text:
         F.coalesce(F.trim(F.lower(F.col(source))), F.lit("")).alias("_source"), _cells(F.col(text)).alias("_cells"),
     )
     model = refined(model, known, narrow)
-    scored = materialize(narrow.mapInArrow(_score(model), _SCORED), "scored-paragraphs")
+    scored = materialize(narrow.mapInArrow(_score(model), _SCORED), "scored-paragraphs", arrow_rows=2000)
 
     spoken = scored.filter("_first >= 0")
     per_host = spoken.groupBy("_host", "_source", "_first").agg(F.count(F.lit(1)).alias("c"))

@@ -24,7 +24,7 @@ from strandline.session import materialize
 from strandline.tables import bounded_rows
 
 TERM_BITS = 18
-#: Tokens in a shard at most, one third more if a split host is unlucky. Many times the largest capacity, and little enough for a task.
+#: Tokens in a shard at most, somewhat more if a split host falls unluckily. Many times the largest capacity, and little enough for a task.
 SHARD_TOKENS = 8_000_000
 K1, B = 1.2, 0.75
 MOST_BINS = 50
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, bins: DataFrame, doc_id: Column, text: Column, host: C
     place = F.coalesce(F.xxhash64(F.when(host.isNotNull(), host)), F.lit(0))
     place = F.when(host.isNull(), F.xxhash64(doc_id)).otherwise(place)
     narrow = docs.select(doc_id.cast("long").alias("id"), place.alias("host"), token_count(text, tokenizer).alias("tokens"), F.coalesce(text, F.lit("")).alias("text"))
-    vectors = materialize(narrow.mapInArrow(_vectors, _VECTOR), "pack-vectors")
+    vectors = materialize(narrow.mapInArrow(_vectors, _VECTOR), "pack-vectors", arrow_rows=512)
 
     whole = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.sum("length").alias("length")).first()
     df = np.zeros(1 << TERM_BITS)
@@ -217,10 +217,10 @@ def pack(docs: DataFrame, bins: DataFrame, doc_id: Column, text: Column, host: C
     found = counted.toArrow()  # at most 2 ** TERM_BITS rows
     df[found.column("term").to_numpy()] = found.column("df").to_numpy()
 
-    # Hosts share as many buckets as there are shards; a bucket with more than a shard's tokens is split by document.
-    n_shards = max(1, math.ceil((whole.tokens or 0) / shard_tokens))
+    # Hosts share buckets that hold half a shard on average; one with more than a shard's tokens, which takes a large host, is split by document.
+    n_shards = max(1, math.ceil(2 * (whole.tokens or 0) / shard_tokens))
     bucket = F.pmod(F.col("host"), F.lit(n_shards)).cast("int")
-    heavy = vectors.groupBy(bucket.alias("b")).agg(F.sum("tokens").alias("t")).filter(F.col("t") > shard_tokens).collect()  # fewer than n_shards rows
+    heavy = vectors.groupBy(bucket.alias("b")).agg(F.sum("tokens").alias("t")).filter(F.col("t") > shard_tokens).collect()  # at most half as many as buckets
     splits, next_shard = [], n_shards
     for r in heavy:
         k = math.ceil(r.t / shard_tokens)
