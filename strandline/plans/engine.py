@@ -312,6 +312,14 @@ class Engine:
         keyed = raw.withColumn("_id", id_col).withColumn("_time", coerce(time, "datetime")).filter("_id is not null and _time is not null")
         return _Events(keyed if when is None else keyed.filter(when), self.stream, attributes, self.functions, state)
 
+    def rejects(self, df: DataFrame) -> dict[str, int]:
+        """How many events have no identity and how many of the others no time, the two reasons to drop one unseen."""
+        columns = {f.name: column_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema}
+        compiler = Compiler({}, lambda base, name: columns.get(name, none_value()) if base == "source" else None, self.functions)
+        who, when = truthy(compiler.compile(self.stream.identity)), coerce(compiler.compile(self.stream.time), "datetime")
+        r = df.agg(F.count_if(~who).alias("identity"), F.count_if(who & when.isNull()).alias("time")).first()
+        return r.asDict()
+
     def blocks(self, df: DataFrame, seq: str | None = None, state: dict[str, DataFrame] | None = None, fold: bool = False, variables: bool = False) -> dict[str, DataFrame]:
         """Blocks of every stored aggregate, by name; with ``variables`` also the last values of variables, which are not stored.
 

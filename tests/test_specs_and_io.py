@@ -167,3 +167,35 @@ def test_stream_of_sessions_in_append_mode(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.identity, int(r.start.timestamp()), int(r.end.timestamp()), r.n, r.total) for r in spark.table("appended").collect())
     assert got == [("a", 0, 10, 2, 3.0), ("a", 21, 21, 1, 4.0)]
+
+
+def test_event_by_event_on_a_stream(spark, tmp_path):
+    from strandline.streaming import stateful
+    from tests.test_engine import mini
+
+    src = tmp_path / "in"
+    mini(spark, FIRST).drop("_id").coalesce(1).write.parquet(str(src))
+    mini(spark, SECOND).drop("_id").coalesce(1).write.mode("append").parquet(str(src))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stateful.PROVIDER)
+    try:
+        df = spark.readStream.schema("user_id string, event_time string, country string, seq long, s0 string").option("maxFilesPerTrigger", 1).parquet(str(src))
+        got = {}
+
+        def keep(batch, number):
+            for r in batch.collect():
+                got.setdefault((r.identity, r.aggregate), {})[json.loads(r.snapshot).get("_start_time")] = json.loads(r.snapshot)
+
+        q = stateful.evaluate(df, Engine(MINI), "seq").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    assert got["userA", "state"][None] == {"country": "IN", "continent": "World", "_identity": "userA"}
+    assert sorted(b["events"] for b in got["userA", "session"].values()) == [1, 3]
+    assert sorted(b["events"] for b in got["userC", "session"].values()) == [1, 1]
+
+
+def test_rejects_are_counted(spark):
+    df = spark.createDataFrame([("a", "2018-03-07"), ("a", "2018-03-07T00:00:00"), ("a", "no"), ("", "2018-03-07T00:00:00"), (None, None), ("b", None)], "user_id string, event_time string")
+    assert Engine(MINI).rejects(df) == {"identity": 2, "time": 2}
