@@ -26,6 +26,8 @@ from strandline.tables import bounded_rows
 TERM_BITS = 18
 #: Tokens in a shard at most, somewhat more if a split host falls unluckily. Many times the largest capacity, and little enough for a task.
 SHARD_TOKENS = 8_000_000
+#: Documents in a shard at most, in the same way, where they are tiny.
+SHARD_DOCS = 100_000
 K1, B = 1.2, 0.75
 MOST_BINS = 50
 _SLICE = 1 << 21
@@ -145,6 +147,17 @@ def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
             near = np.flatnonzero(unused & (sizes <= left))
             near = near[np.lexsort((near, -sizes[near], -score[near]))]
             while len(near):
+                # All that fit one after another come at once, but for the last, which must be weighed against its rivals.
+                upto = np.cumsum(sizes[near])
+                sure = int(np.searchsorted(upto, left, side="right")) - 1
+                if sure > 0:
+                    unused[near[:sure]] = False
+                    items.extend(near[:sure].tolist())
+                    left -= int(upto[sure - 1])
+                    near = near[sure:]
+                    near = near[sizes[near] <= left]
+                    if not len(near):
+                        break
                 small = int(sizes[near].min())
                 best = near[0]
                 if left - int(sizes[best]) < small or left < 2 * small:
@@ -218,12 +231,13 @@ def pack(docs: DataFrame, bins: DataFrame, doc_id: Column, text: Column, host: C
     df[found.column("term").to_numpy()] = found.column("df").to_numpy()
 
     # Hosts share buckets that hold half a shard on average; one with more than a shard's tokens, which takes a large host, is split by document.
-    n_shards = max(1, math.ceil(2 * (whole.tokens or 0) / shard_tokens))
+    load = F.greatest(F.sum("tokens") / shard_tokens, F.count(F.lit(1)) / SHARD_DOCS)
+    n_shards = max(1, math.ceil(2 * (whole.tokens or 0) / shard_tokens), math.ceil(2 * whole.n / SHARD_DOCS))
     bucket = F.pmod(F.col("host"), F.lit(n_shards)).cast("int")
-    heavy = vectors.groupBy(bucket.alias("b")).agg(F.sum("tokens").alias("t")).filter(F.col("t") > shard_tokens).collect()  # at most half as many as buckets
+    heavy = vectors.groupBy(bucket.alias("b")).agg(load.alias("load")).filter("load > 1").collect()  # at most half as many as buckets
     splits, next_shard = [], n_shards
     for r in heavy:
-        k = math.ceil(r.t / shard_tokens)
+        k = math.ceil(r.load)
         splits.append((r.b, k, next_shard))
         next_shard += k
     split = vectors.sparkSession.createDataFrame(splits, "b int, k int, first int")
