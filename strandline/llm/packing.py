@@ -3,7 +3,8 @@
 The corpus is cut into shards of bounded size: documents of one host stay together, hosts that outgrow a shard are
 split. Every shard has a BM25 inverted index of its unused documents. The largest unused document opens a container,
 the index returns its neighbours by score, and they fill the container greedily; what they leave is filled by the
-largest documents that fit. Document frequencies and lengths in the scores are those of the whole corpus.
+largest documents that fit. The few containers of each shard that stay loose, its last ones, are packed again
+together with those of other shards. Document frequencies and lengths in the scores are those of the whole corpus.
 
 Terms are letter sequences (single characters for ideographs and kana), hashed into 2**18 numbers, so the table of
 document frequencies has a fixed size. Whole texts are read; terms are found by array operations on their bytes.
@@ -171,11 +172,14 @@ def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
 
 
 _PLACED = "bin_name string, capacity long, shard int, container int, slot int, doc_id long, piece int, piece_start long, piece_tokens long"
+_PLACED_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+#: Containers filled less than this are emptied, and what was in them is packed again across this many shards.
+LOOSE, GATHERED_SHARDS = 0.97, 256
 
 
 def _pack_shard(bins: list[tuple[str, int]], n_docs: int, mean_length: float, df: np.ndarray):
-    names = [c.split()[0] for c in _PLACED.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in f"{_PLACED}, loose boolean".split(", ")]
+    types = [*_PLACED_TYPES, pa.bool_()]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("id", "ascending"), ("tokens", "descending")])
@@ -193,14 +197,15 @@ def _pack_shard(bins: list[tuple[str, int]], n_docs: int, mean_length: float, df
             single = (whole > 0) & (rest == 0)
             for d in np.flatnonzero(whole):
                 for p in range(int(whole[d])):
-                    for col, v in zip(rows, (name, capacity, shard, box, 0, ids[d], p, p * capacity, capacity)):
+                    for col, v in zip(rows, (name, capacity, shard, box, 0, ids[d], p, p * capacity, capacity, False)):
                         col.append(v)
                     box += 1
             item = np.flatnonzero(~single)
             for held in fill(rest[item], capacity, lambda i: index.scores(item[i])[item]):
+                loose = int(rest[item[held]].sum()) < LOOSE * capacity
                 for slot, i in enumerate(held):
                     d = item[i]
-                    for col, v in zip(rows, (name, capacity, shard, box, slot, ids[d], int(whole[d]), int(whole[d]) * capacity, int(rest[d]))):
+                    for col, v in zip(rows, (name, capacity, shard, box, slot, ids[d], int(whole[d]), int(whole[d]) * capacity, int(rest[d]), loose)):
                         col.append(v)
                 box += 1
         return pa.Table.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=names)
@@ -208,6 +213,19 @@ def _pack_shard(bins: list[tuple[str, int]], n_docs: int, mean_length: float, df
     return run
 
 
+def _pack_again(key: tuple, table: pa.Table) -> pa.Table:
+    """What was left in loose containers, largest first and best fit; the shard is numbered below 0."""
+    table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("piece_tokens", "ascending")])
+    sizes = table.column("piece_tokens").to_numpy()
+    n = len(sizes)
+    container, slot = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for box, held in enumerate(fill(sizes, table.column("capacity")[0].as_py(), lambda i: np.zeros(n))):
+        container[held], slot[held] = box, np.arange(len(held))
+    new = {"shard": pa.array(np.full(n, -1 - key[1].as_py(), np.int32)), "container": pa.array(container), "slot": pa.array(slot)}
+    names = [c.split()[0] for c in _PLACED.split(", ")]
+    return pa.Table.from_arrays([new.get(c, table.column(c)) for c in names], names=names)
+
+
 def pack(docs: DataFrame, bins: DataFrame, doc_id: Column, text: Column, host: Column, tokenizer: str = "bytes", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Where each document goes in each kind of container of ``bins`` (bin_name, capacity_tokens; at most MOST_BINS rows).
 
@@ -244,7 +262,11 @@ def pack(docs: DataFrame, bins: DataFrame, doc_id: Column, text: Column, host: C
     sharded = vectors.withColumn("b", bucket).join(F.broadcast(split), "b", "left")
     shard = F.when(F.col("k").isNull(), F.col("b")).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int"))
     run = _pack_shard(kinds, whole.n, (whole.length or 0) / max(1, whole.n), df.astype(np.float32))
-    return sharded.select(shard.alias("shard"), "id", "tokens", "length", "terms", "counts").groupBy("shard").applyInArrow(run, _PLACED)
+    placed = sharded.select(shard.alias("shard"), "id", "tokens", "length", "terms", "counts").groupBy("shard").applyInArrow(run, f"{_PLACED}, loose boolean")
+    placed = materialize(placed, "pack-placed")
+    # Of each shard little more than the last container of a kind is loose; those of many shards fill up together.
+    loose = placed.filter("loose").drop("loose").groupBy("bin_name", F.floor(F.col("shard") / GATHERED_SHARDS).cast("int").alias("lot")).applyInArrow(_pack_again, _PLACED)
+    return placed.filter("not loose").drop("loose").unionByName(loose)
 
 
 def container_report(placed: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_every_piece_is_placed_once_and_nothing_overflows(placed):
 
 
 def test_several_shards_and_little_space_is_left(spark, placed):
-    assert len({r.shard for r in placed}) > 3
+    assert len({r.shard for r in placed}) > 3 and min(r.shard for r in placed) < 0
     report = packing.container_report(packed(spark, documents(), shard_tokens=10**9)).collect()
     assert {r.bin_name: r.filled > 0.97 for r in report} == {"b64": True, "b1000": True}
 
