@@ -219,6 +219,33 @@ def running_min_zero_reset(spark: SparkSession, folder: str) -> DataFrame:
     return run(spark, folder, stream(aggregate("Identity", "state", [("low", "float", "source.value // 10", "state.low == 0 or source.value // 10 < state.low")])), "state")
 
 
+@query(f"SELECT {U}, least(count(*), 5) AS events FROM events GROUP BY user_id")
+def aggregate_when_own_state(spark: SparkSession, folder: str) -> DataFrame:
+    return run(spark, folder, stream(aggregate("Identity", "state", [counting("state")], When="state.events < 5")), "state")
+
+
+@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
+SELECT {U}, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (WHERE event_type <> 'view' OR back = 1), '') AS kinds FROM o GROUP BY user_id""")
+def set_discard_fold(spark: SparkSession, folder: str) -> DataFrame:
+    spec = stream(aggregate("Identity", "state", [("kinds", "set", "state.kinds.discard('view').add(source.event_type)")]))
+    return run(spark, folder, spec, "state").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(f"SELECT {U}, event_type AS kind, min(ts) AS start_time, max(ts) AS end_time, CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS BIGINT) AS days, min(ts) AS seen FROM events GROUP BY user_id, event_type")
+def days_since_first(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [("days", "integer", "(time - kept._start_time).days"), ("seen", "datetime", "time", "time == kept._start_time")]
+    return run(spark, folder, stream(aggregate("Block", "kept", fields, [("kind", "string", "source.event_type")])), "kept")
+
+
+@query("""WITH d AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS DATE) AS day, min(ts) AS st, count(*) AS n FROM events GROUP BY 1, 2),
+l AS (SELECT *, lag(n) OVER w AS a, lag(n, 2) OVER w AS b FROM d WINDOW w AS (PARTITION BY user_id ORDER BY st))
+SELECT user_id, st AS start_time, a AS last_events, a + b AS both_events FROM l WHERE b IS NOT NULL""")
+def window_block_source(spark: SparkSession, folder: str) -> DataFrame:
+    made = stream(aggregate("Block", "daily", [counting("daily")], [("day", "string", "str(time.date())")]))
+    spec = windows(window("last", "count", -1, [("events", "integer", "source.events[0]")], source="own.daily"), window("both", "count", -2, [("events", "integer", "sum(source.events)")], source="own.daily"), condition="own.daily.events > 0")
+    return near(spark, folder, spec, made)
+
+
 def per_event(fields: list[tuple]) -> dict:
     return stream(aggregate("Identity", "x", fields, [("event", "integer", "source.event_id")]))
 

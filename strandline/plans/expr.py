@@ -521,6 +521,8 @@ class Compiler:
                 v = self.node(outer.iter)
                 if v.kind == "list" and v.elem in ("list", None):
                     return V(F.flatten(v.col), "list", None, err=_any(v.err, v.col.isNull()))
+        if len(n.generators) == 1 and isinstance(n.generators[0].target, ast.Tuple):
+            return self._zipped(n.elt, n.generators[0])
         if len(n.generators) != 1 or not isinstance(n.generators[0].target, ast.Name):
             raise Unsupported("comprehension")
         g = n.generators[0]
@@ -545,6 +547,26 @@ class Compiler:
 
     _GeneratorExp = _ListComp
 
+    def _zipped(self, elt: ast.AST, g: ast.comprehension) -> V:
+        """``[... for a, b in zip(x, y)]``, as long as the shorter list."""
+        call, names = g.iter, [t.id for t in g.target.elts if isinstance(t, ast.Name)]
+        if not (isinstance(call, ast.Call) and isinstance(call.func, ast.Name) and call.func.id == "zip" and len(call.args) == len(names) == len(g.target.elts) == 2) or g.ifs:
+            raise Unsupported("comprehension")
+        x, y = (self.node(a) for a in call.args)
+        if x.kind != "list" or y.kind != "list":
+            raise Unsupported("zip of no lists")
+        n = F.least(F.size(x.col), F.size(y.col))
+        made: list[V] = []
+
+        def inside(a: Column, b: Column) -> V:
+            made.append(Compiler({**self.names, names[0]: V(a, x.elem or "str"), names[1]: V(b, y.elem or "str")}, self.attribute, self.functions).node(elt))
+            return made[-1]
+
+        xs, ys = F.slice(x.col, 1, n), F.slice(y.col, 1, n)
+        out = F.zip_with(xs, ys, lambda a, b: inside(a, b).col)
+        bad = F.zip_with(xs, ys, lambda a, b: F.coalesce(failed(inside(a, b)), F.lit(False)))
+        return V(out, "list", made[-1].kind, err=_any(_needing(x, y), F.exists(bad, lambda z: z)))
+
     def _Call(self, n: ast.Call) -> V:
         if n.keywords:
             raise Unsupported("keyword arguments")
@@ -590,8 +612,6 @@ class Compiler:
                 return replace(none_value(), err=F.lit(True))
             cols, shape = self._common(*vs)
             return replace(shape, col=(F.greatest if name == "max" else F.least)(*cols), err=_needing(*vs))
-        if len(vs) == 2 and name == "zip" and all(v.kind == "list" for v in vs):
-            return V(F.arrays_zip(F.transform(vs[0].col, lambda x: x).alias("a"), vs[1].col), "list", "struct", err=_needing(*vs))
         if len(vs) != 1:
             raise Unsupported(f"{name} of {len(vs)} values")
         v = vs[0]

@@ -135,7 +135,8 @@ class Interpreter:
             return
         g, *rest = generators
         for x in self._eval(g.iter, env):
-            inner = {**env, g.target.id: x}
+            pairs = zip(g.target.elts, x) if isinstance(g.target, ast.Tuple) else [(g.target, x)]
+            inner = {**env, **{t.id: v for t, v in pairs}}
             if all(self._eval(t, inner) for t in g.ifs):
                 yield from self._comprehension(elt, rest, inner)
 

@@ -24,7 +24,7 @@ CASES = [
     ("string", "source.s.replace('Hi', 'Ho')"), ("integer", "source.s.find('t')"), ("integer", "source.s.find('q')"), ("string", "'-'.join(source.t)"), ("integer", "ord(source.s[0])"), ("integer", "ord(source.s)"), ("list", "[x * 2 for x in source.l if x > 1]"), ("integer", "len([x for x in source.t if x == 'y'])"),
     ("integer", "abs(source.n)"), ("string", "str(time.date())"), ("integer", "time.hour"), ("integer", "(time - parse('2024-03-01')).days"), ("datetime", "parse('2024/03/05 01:02:03')"), ("datetime", "parse('2024-03-05T01:02:03-03:00')"), ("datetime", "parse('no time')"), ("datetime", "source.s"),
     ("integer", "source.s"), ("integer", "source.d"), ("float", "source.i"), ("boolean", "'false'"), ("boolean", "0.0"), ("string", "source.i"), ("integer", "source.f"), ("integer", "True"), ("integer", "-source.i"), ("integer", "source.gone.x"), ("integer", "source.m.get('a')"), ("integer", "round(source.f)"),
-    ("integer", "source.none and 3"), ("integer", "source.i and 3"), ("boolean", "source.i > 1 and source.none > 1"), ("boolean", "source.i > 100 and source.none > 1"), ("integer", "sum([])"), ("datetime", "datetime.fromtimestamp(source.i)"),
+    ("integer", "source.none and 3"), ("integer", "source.i and 3"), ("boolean", "source.i > 1 and source.none > 1"), ("boolean", "source.i > 100 and source.none > 1"), ("integer", "sum([])"), ("list", "[a * b for a, b in zip(source.l, [10, 20])]"), ("list", "[a + b for a, b in zip(source.l, source.t)]"), ("list", "[a + '-' + b for a, b in zip(source.t, source.t)]"), ("integer", "sum([a - b for a, b in zip(source.l, source.l)])"), ("datetime", "datetime.fromtimestamp(source.i)"),
 ]
 
 
