@@ -35,11 +35,29 @@ def _frame(w: Aggregate):
     return by_time.rangeBetween(span + 1, -1) if n < 0 else by_time.rangeBetween(1, span - 1)
 
 
+class _Frames:
+    """Window columns of all windows, added together so that Spark computes those of one order in one pass."""
+
+    def __init__(self):
+        self.first: dict[str, Column] = {}
+        self.second: dict[str, Column] = {}
+
+    def add(self, c: Column, after: bool = False) -> str:
+        name = f"_w{len(self.first) + len(self.second)}"
+        (self.second if after else self.first)[name] = c
+        return name
+
+    def onto(self, df: DataFrame) -> DataFrame:
+        for columns in (self.first, self.second):
+            df = df.withColumns(columns) if columns else df
+        return df
+
+
 class _Neighbours:
     """Columns computed over one window's frame; shared among its fields."""
 
-    def __init__(self, df: DataFrame, w: Aggregate, shapes: dict[str, V], ties: bool):
-        self.df, self.w, self.shapes, self.frame, self.ties, self.made = df, w, shapes, _frame(w), ties, {}
+    def __init__(self, frames: _Frames, w: Aggregate, shapes: dict[str, V], ties: bool):
+        self.frames, self.w, self.shapes, self.frame, self.ties, self.made = frames, w, shapes, _frame(w), ties, {}
 
     def column(self, what: str, field: str | None) -> str:
         key = (what, field)
@@ -47,14 +65,13 @@ class _Neighbours:
             c = F.col("_at") if field is None else self.shapes[field].col
             over = {
                 "sum": lambda: F.sum(c), "len": lambda: F.count(F.lit(1)), "max": lambda: F.max(c), "min": lambda: F.min(c), "first": lambda: F.first(c), "last": lambda: F.last(c),
-                "list": lambda: F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_key").alias("key"), c.alias("v"))), "nulls": lambda: F.sum(F.when(c.isNull(), 1).otherwise(0)),
+                "list": lambda: F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_key").alias("key"), c.alias("v"))),
             }[what]().over(self.frame)
-            name = f"_w{len(self.df.columns)}"
-            self.df = self.df.withColumn(name, over)
+            name = self.frames.add(over)
             if self.w.window_type == "count" and self.ties:
                 # Blocks with one start must not see each other: all of them take the frame of the outermost one.
                 peers = Window.partitionBy("_identity", "_at").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                self.df = self.df.withColumn(name, (F.first if self.w.window_value < 0 else F.last)(name).over(peers))
+                name = self.frames.add((F.first if self.w.window_value < 0 else F.last)(name).over(peers), after=True)
             self.made[key] = name
         return self.made[key]
 
@@ -159,9 +176,9 @@ def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame],
 
     accepted = Compiler({}, attribute, functions).condition(spec.condition)
     ties = agg.kind == "block"
-    keep, out = [], []
+    keep, out, frames = [], [], _Frames()
     for a in spec.aggregates:
-        near = _Neighbours(df, a, shapes, ties) if a.kind == "window" else None
+        near = _Neighbours(frames, a, shapes, ties) if a.kind == "window" else None
         if near is not None:
             keep.append(near.valid())
 
@@ -181,8 +198,7 @@ def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame],
             shown = F.coalesce(c, default_of(f.type, spark_type(f.type, shape)))
             done[a.name, f.name] = V(shown, shape.kind, v.elem, v.key)
             out.append(shown.alias(f"{a.name}.{f.name}"))
-        if near is not None:
-            df = near.df
+    df = frames.onto(df)
     gate = Compiler({}, attribute, functions).condition(spec.when)
     for c in [accepted, *keep, *([gate] if gate is not None else [])]:
         df = df.filter(c)
