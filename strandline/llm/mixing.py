@@ -43,10 +43,10 @@ def prose_weight(cell_kinds: Column) -> Column:
     return F.when(n > 0, 0.25 + 0.75 * prose / n).otherwise(0.25)
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: Column, source: Column, text: Column, weight: Column, seed: int = 42, tokenizer: str = "bytes") -> Mixture:
+def mix(docs: DataFrame, targets: DataFrame, doc_id: Column, source: Column, text: Column, weight: Column, seed: int = 42, tokenizer: str = "bytes", total_tokens: int | None = None) -> Mixture:
     """Records of ``docs`` in the shares of ``targets`` (source, target_share, max_repeats; at most MOST_SOURCES sources).
 
-    A source's budget is its share of the size of all documents, whatever their source. Sources are compared trimmed
+    A source's budget is its share of ``total_tokens``, by default the size of all documents, whatever their source. Sources are compared trimmed
     and in lower case; targets that are then alike add up their shares and take the larger cap. A null share is 0, a
     null or negative cap 1, a null or non-positive weight the smallest there is. Documents of other or null sources
     count in the total only. Records are told apart by (id, source); equal ones draw the same key and are taken in any
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: Column, source: Column, tex
 
     listed = F.col("source").isin(list(wanted))
     sizes = {r.s: r.tokens for r in keyed.groupBy(F.when(listed, F.col("source")).alias("s")).agg(F.sum("tokens").alias("tokens")).collect()}
-    total = sum(sizes.values())
+    total = sum(sizes.values()) if total_tokens is None else total_tokens
     plans = []
     for s, (share, cap) in wanted.items():
         size, budget = sizes.get(s, 0), share * total

@@ -9,10 +9,10 @@ from strandline.llm import mixing
 SCHEMA = "doc_id long, source string, text string, weight double, key string, w int, tokens string, spot int"
 
 
-def mixed(spark, rows, targets, seed=42):
+def mixed(spark, rows, targets, seed=42, **more):
     df = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], SCHEMA)
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    return mixing.mix(df, t, F.col("doc_id"), F.col("source"), F.col("text"), F.col("weight"), seed)
+    return mixing.mix(df, t, F.col("doc_id"), F.col("source"), F.col("text"), F.col("weight"), seed, **more)
 
 
 def documents(n=2000, seed=1):
@@ -93,3 +93,9 @@ def test_prose_weight(spark):
     df = spark.createDataFrame([(["markdown", "code"],), ([],), (None,), ([None, "markdown"],)], "c array<string>")
     assert [r[0] for r in df.select(mixing.prose_weight(F.col("c"))).collect()] == [0.625, 0.25, 0.25, 0.625]
     assert math.isclose(sum([0.625, 0.25]), 0.875)
+
+
+def test_a_total_of_ones_own(spark):
+    rows = [(i, "a", "x" * 10, 1.0) for i in range(100)] + [(i, "b", "y" * 10, 1.0) for i in range(100, 200)]
+    report = {r.source: r for r in mixed(spark, rows, [("a", 0.25, 1), ("b", 0.75, 1)], total_tokens=400).report.collect()}
+    assert (report["a"].taken, report["b"].taken) == (100, 300) and report["b"].actual_share == 0.75
