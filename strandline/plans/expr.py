@@ -76,7 +76,7 @@ def column_value(col: Column, t: T.DataType) -> V:
     elif kind == "float":
         col = col.cast("double")
     elif isinstance(t, T.TimestampNTZType):
-        col = F.to_utc_timestamp(col.cast("timestamp"), F.current_timezone())
+        col = F.from_utc_timestamp(col.cast("timestamp"), F.current_timezone())  # without a zone means UTC
     return V(col, kind, elem, key, None, t if isinstance(t, T.StructType) else None)
 
 

@@ -218,3 +218,17 @@ def test_imported_functions(spark):
     spec = stream(aggregate("Identity", "state", [("x", "integer", "twice(source.v)")]), identity="source.u", time="source.t")
     df = readers.records(spark, [{"u": "a", "t": dt.datetime(2020, 1, 1), "v": 4}], "u string, t timestamp, v long")
     assert Engine(spec, functions={"twice": lambda v: V(v.col * F.lit(2), "int", err=v.err)}).blocks(df)["state"].collect()[0].x == 8
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Tokyo"])
+def test_times_without_a_zone_are_utc(spark, zone):
+    from pyspark.sql import functions as F
+
+    spec = stream(aggregate("Block", "b", [("n", "integer", "b.n + 1"), ("same", "boolean", "source.n == parse(source.s)")], [("u", "string", "source.u")]), identity="source.u", time="source.n")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([("a", "2020-06-01 10:00:00"), ("a", "2020-06-01 11:30:00")], "u string, s string").withColumn("n", F.col("s").cast("timestamp_ntz"))
+        r = Engine(spec).blocks(df)["b"].select(F.unix_micros("_start_time").alias("st"), F.unix_micros("_end_time").alias("et"), "n", "same").collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (r.st, r.et, r.n, r.same) == (1591005600000000, 1591011000000000, 2, True)
