@@ -82,7 +82,7 @@ def p3_per_key(spark: SparkSession, folder: str) -> DataFrame:
     states = table(spark, folder, "identity_state")
     newest = F.row_number().over(Window.partitionBy("_identity").orderBy(F.desc_nulls_last("updated_at"), F.desc("state_id")))
     latest = states.withColumn("rank", newest).filter("rank = 1").select(F.col("_identity").alias("k"), "country", "max_level_completed")
-    plan = skew.plan_loads(skew.key_loads(log, F.col("k")), _tasks(spark))
+    plan = skew.plan_for(log, F.col("k"), _tasks(spark))
     joined = skew.balanced_join(log, latest, "k", plan)
     per_key = joined.groupBy("k", "country", "max_level_completed").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"), F.max("us").alias("last_us"))
     return per_key.select(F.col("k").alias("key_identity"), "country", "max_level_completed", "n_rows", F.round("total", 4).alias("total"), _seconds("last_us").alias("last_s"))
