@@ -1,7 +1,8 @@
 """One row per entity with a count, a recency and a total for each of hundreds of event types.
 
-Events shrink to a compact long table (entity, type) first; only that table is turned into rows per entity.
-The wide row exists in the last projection alone, never in a shuffle or in an aggregation buffer.
+Events shrink to a compact long table (entity, type) first; only that table is pivoted, under the explicit list of
+types, into rows per entity. What is moved for the pivot are the narrow rows of the long table, of which an entity has
+no more than the list is long; wide rows exist only in the task that writes them.
 """
 
 from __future__ import annotations
@@ -53,31 +54,38 @@ def kind_cells(events: DataFrame, by: dict[str, Column], group: Column, uid: Col
     return long.select(*(F.col(f"_by_{n}").alias(n) for n in by), F.col("_kind_no").alias("kind_no"), "n", "last_us", "total")
 
 
+def recency_s(last_us: Column, as_of_us: int | None) -> Column:
+    """Seconds from the last instant to ``as_of_us``; null if either is missing."""
+    return (F.lit(as_of_us).cast("long") - last_us) / F.lit(1e6)
+
+
 def pivot_cells(long: DataFrame, by: list[str], kinds: list[tuple[int, str]], as_of_us: int | None = None) -> DataFrame:
     """One row per combination of ``by``; ``cells`` maps each kind of the explicit list that occurs to its cell.
 
-    A cell is (n, recency_s, total). Recency runs up to ``as_of_us``, null if that or the last instant is missing.
-    Kinds outside the list are left out, so a row holds at most as many cells as the list is long.
+    The sparse form of the table. A cell is (n, recency_s, total). Recency runs up to ``as_of_us``, null if that or the
+    last instant is missing. Kinds outside the list are left out, so a row holds at most as many cells as the list is long.
     """
-    recency = (F.lit(as_of_us).cast("long") - F.col("last_us")) / F.lit(1e6)
     listed = F.col("kind_no").isin([no for no, _ in kinds])
-    cell = F.struct("n", recency.alias("recency_s"), "total")
+    cell = F.struct("n", recency_s(F.col("last_us"), as_of_us).alias("recency_s"), "total")
     return long.filter(listed).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("kind_no", cell.alias("cell")))).alias("cells"))
 
 
-def wide_columns(pivoted: DataFrame, by: list[str], kinds: list[tuple[int, str]]) -> DataFrame:
-    """The cells as columns ``n_<kind>``, ``recency_s_<kind>``, ``total_<kind>``: 0, null and 0.0 where there is no event.
+def feature_table(long: DataFrame, entity: str, kinds: list[tuple[int, str]], as_of_us: int | None = None) -> DataFrame:
+    """One row per entity with the columns ``n_<kind>``, ``recency_s_<kind>``, ``total_<kind>`` for each kind of the explicit list.
 
-    The lookups are plain expressions in generated code, over a map that holds only the entity's own kinds.
+    0, null and 0.0 where there is no event. The long table's rows are gathered by entity once, before they are grouped,
+    so that grouping and pivoting move nothing more.
     """
+    gathered = long.repartition(entity).groupBy(entity)
+    wide = gathered.pivot("kind_no", [no for no, _ in kinds]).agg(F.first("n").alias("n"), F.first("last_us").alias("last_us"), F.first("total").alias("total"))
     out = []
     for no, name in kinds:
-        c = F.try_element_at("cells", F.lit(no))
-        out += [F.coalesce(c["n"], F.lit(0)).alias(f"n_{name}"), c["recency_s"].alias(f"recency_s_{name}"), F.coalesce(c["total"], F.lit(0.0)).alias(f"total_{name}")]
-    return pivoted.select(*by, *out)
+        n, last, total = (F.col(f"`{no}_{c}`") for c in ("n", "last_us", "total"))
+        out += [F.coalesce(n, F.lit(0)).alias(f"n_{name}"), recency_s(last, as_of_us).alias(f"recency_s_{name}"), F.coalesce(total, F.lit(0.0)).alias(f"total_{name}")]
+    return wide.select(entity, *out)
 
 
 def filled_cells(pivoted: DataFrame, by: list[str]) -> DataFrame:
-    """The non-empty cells of the pivoted table, as rows (``by``, kind_no, n, recency_s, total)."""
+    """The non-empty cells of the sparse table, as rows (``by``, kind_no, n, recency_s, total)."""
     rows = pivoted.select(*by, F.explode("cells").alias("kind_no", "_cell"))
     return rows.select(*by, "kind_no", "_cell.n", "_cell.recency_s", "_cell.total")

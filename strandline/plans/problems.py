@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.instants import day_string, iso_instant, joined_dims, micros, nonblank
 from strandline.operators import features, late, rolling, sessions, skew
+from strandline.session import materialize
 from strandline.tables import table
 
 GAP_S = 1800
@@ -45,28 +48,35 @@ def p1_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("key").alias("partition_key"), start.alias("start_s"), end.alias("end_s"), (end - start).alias("duration_s"), "n_items", "n_events")
 
 
-def _cells(spark: SparkSession, folder: str, with_dims: bool) -> tuple[DataFrame, list[str], list[tuple[int, str]]]:
-    log = table(spark, folder, "key_log")
-    kinds = features.kind_list(table(spark, folder, "event_kinds"))
+def _long(log: DataFrame, kinds: list[tuple[int, str]], with_dims: bool) -> DataFrame:
     by = {"key_identity": F.col("key_identity")} | ({"dims": joined_dims("key_dimensions")} if with_dims else {})
-    long = features.kind_cells(log, by, F.col("key_group"), F.col("event_uid"), F.col("event_value"), log_instant(), kinds)
-    as_of = log.agg(F.max(log_instant())).first()[0]
-    return features.pivot_cells(long, list(by), kinds, as_of), list(by), kinds
+    return features.kind_cells(log, by, F.col("key_group"), F.col("event_uid"), F.col("event_value"), log_instant(), kinds)
+
+
+def _dated(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[int, str]], int | None]:
+    """The long table of the log, the kinds, and the log's last instant, all from one scan: it is noted while the table is written."""
+    kinds = features.kind_list(table(spark, folder, "event_kinds"))
+    seen = Observation()
+    log = table(spark, folder, "key_log").observe(seen, F.max(log_instant()).alias("last"), F.count(F.lit(1)).alias("n"))
+    long = materialize(_long(log, kinds, with_dims=False), "kind-cells")
+    return long, kinds, seen.get["last"]
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pivoted, by, _ = _cells(spark, folder, with_dims=True)
-    return features.filled_cells(pivoted, by).select("key_identity", "kind_no", "dims")
+    kinds = features.kind_list(table(spark, folder, "event_kinds"))
+    pivoted = features.pivot_cells(_long(table(spark, folder, "key_log"), kinds, with_dims=True), ["key_identity", "dims"], kinds)
+    return features.filled_cells(pivoted, ["key_identity", "dims"]).select("key_identity", "kind_no", "dims")
 
 
 def p2_cells(spark: SparkSession, folder: str) -> DataFrame:
-    pivoted, by, _ = _cells(spark, folder, with_dims=False)
-    return features.filled_cells(pivoted, by).select("key_identity", "kind_no", "n", F.round("recency_s", 3).alias("recency_s"), F.round("total", 4).alias("total"))
+    long, kinds, as_of = _dated(spark, folder)
+    cells = features.filled_cells(features.pivot_cells(long, ["key_identity"], kinds, as_of), ["key_identity"])
+    return cells.select("key_identity", "kind_no", "n", F.round("recency_s", 3).alias("recency_s"), F.round("total", 4).alias("total"))
 
 
 def p2_feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    pivoted, by, kinds = _cells(spark, folder, with_dims=False)
-    return features.wide_columns(pivoted, by, kinds)
+    long, kinds, as_of = _dated(spark, folder)
+    return features.feature_table(long.withColumn("total", F.round("total", 4)), "key_identity", kinds, as_of)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,6 +159,26 @@ numbered AS (
   SELECT *, sum(opens) OVER (PARTITION BY partition_key ORDER BY us ROWS UNBOUNDED PRECEDING) AS part FROM gaps)"""
 _KINDS = """kinds AS (
   SELECT min(kind_no) AS kind_no, translate(lower(kind_name), ' _-.', '') AS plain FROM event_kinds GROUP BY 2)"""
+_ONCE = f"""WITH {_KINDS}, {_LOG},
+once AS (
+  SELECT l.key_identity, k.kind_no, l.event_uid, max(l.event_value) AS v, max(l.us) AS us
+  FROM log l JOIN kinds k ON translate(lower(l.key_group), ' _-.', '') = k.plain
+  WHERE trim(coalesce(l.key_identity, '')) <> '' GROUP BY ALL)"""
+
+
+def _wide_sql(folder: str) -> str | None:
+    """Conditional aggregates for each kind of the fixed list; none where that table is not at hand."""
+    path = Path(folder) / "event_kinds.parquet"
+    if not path.exists():
+        return None
+    kinds = sorted((r["kind_no"], r["kind_name"]) for r in pq.read_table(path, columns=["kind_no", "kind_name"]).to_pylist())
+    cells = ",\n".join(
+        f"""count(*) FILTER (WHERE kind_no = {no}) AS "n_{name}", (any_value(top) - max(us) FILTER (WHERE kind_no = {no})) / 1e6 AS "recency_s_{name}", round(coalesce(sum(v) FILTER (WHERE kind_no = {no}), 0), 4) AS "total_{name}\""""
+        for no, name in kinds
+    )
+    return f"{_ONCE}\nSELECT key_identity, {cells}\nFROM once, (SELECT max(us) AS top FROM log) GROUP BY key_identity"
+
+
 _ROLL = f"""{_LOG},
 once AS (
   SELECT key_identity, CAST(floor(us / 86400000000) AS INTEGER) AS day, event_uid, max(event_value) AS v
@@ -203,11 +233,7 @@ FROM numbered GROUP BY partition_key, part""",
 SELECT DISTINCT l.key_identity, k.kind_no, coalesce(array_to_string(list_filter(l.key_dimensions, lambda x: x IS NOT NULL), '|'), '') AS dims
 FROM key_log l JOIN kinds k ON translate(lower(l.key_group), ' _-.', '') = k.plain
 WHERE trim(coalesce(l.key_identity, '')) <> ''""",
-    "p2_cells": f"""WITH {_KINDS}, {_LOG},
-once AS (
-  SELECT l.key_identity, k.kind_no, l.event_uid, max(l.event_value) AS v, max(l.us) AS us
-  FROM log l JOIN kinds k ON translate(lower(l.key_group), ' _-.', '') = k.plain
-  WHERE trim(coalesce(l.key_identity, '')) <> '' GROUP BY ALL)
+    "p2_cells": f"""{_ONCE}
 SELECT key_identity, kind_no, count(*) AS n, round(((SELECT max(us) FROM log) - max(us)) / 1e6, 3) AS recency_s, round(coalesce(sum(v), 0), 4) AS total
 FROM once GROUP BY key_identity, kind_no""",
     "p3_found": """SELECT 'key_log' AS table_name, key_identity AS hot_key FROM key_log WHERE trim(coalesce(key_identity, '')) <> ''
@@ -240,3 +266,6 @@ SELECT {_phase('close', "verdict = 'on_time'")}, {_phase('final', "verdict <> 'd
   count(*) FILTER (WHERE verdict = 'corrected') AS n_corrected, count(*) FILTER (WHERE verdict = 'dropped') AS n_dropped, {_DAY}
 FROM judged GROUP BY day""",
 }
+
+if (_wide := _wide_sql("/root/testdata/sf0.001")) is not None:
+    ORACLE["p2_feature_table"] = _wide
