@@ -1,7 +1,8 @@
 """Per-day aggregates by event time that late records correct until a cut-off.
 
 The state of a period is a multiset: how often each value occurred, among the records that were there when the
-period ended and among those that came late but in time. A late record only moves counts. Medians, numbers of
+period ended and among those that came late but in time. A late record only moves counts; the log of these changes
+is what becomes of late records, and the state is the counts at the end plus the log. Medians, numbers of
 distinct values and extremes are not kept but read off the counts, so a correction can never leave them stale.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.instants import DAY_US, period_no
+from strandline.session import materialize
 
 ON_TIME, CORRECTED, DROPPED = "on_time", "corrected", "dropped"
 
@@ -33,29 +35,31 @@ def judged(events: DataFrame, uid: Column, tie: Column, arrived_us: Column, inst
     return once.select("tie", period.alias("period"), "value", verdict.alias("verdict"))
 
 
-def multisets(records: DataFrame) -> DataFrame:
-    """The state: (period, value, n_on_time, n_corrected, n_dropped), one row per period and distinct value.
+def change_log(records: DataFrame) -> DataFrame:
+    """What late records do to the state, one row each: (tie, period, value, verdict, delta).
 
-    A null value has its own row. Combined on the map side, so a period or a value with a third of all rows is no burden.
+    ``delta`` is 1 where the record raises its value's count in its period, and 0 where it came past the cut-off.
     """
-    n = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(f"n_{v}")
-    return records.groupBy("period", "value").agg(n(ON_TIME), n(CORRECTED), n(DROPPED))
+    late = records.filter(F.col("verdict") != ON_TIME)
+    return late.withColumn("delta", F.when(F.col("verdict") == CORRECTED, 1).otherwise(0).cast("long"))
 
 
-def adjustments(records: DataFrame, state: DataFrame) -> DataFrame:
-    """Each late record beside the multiset entry that it changed, or that it came too late to change.
+def multisets(records: DataFrame) -> DataFrame:
+    """The state: (period, value, n_on_time, n_corrected, n_dropped), one row per period and distinct value.
 
-    (tie, period, value, verdict, n_at_close, n_final): how often the value counts in the period at its end and at the cut-off.
+    Records on time make the counts at the period's end; the log of changes adds to them. A null value has its own
+    row. Combined on the map side, so a period or a value with a third of all rows is no burden.
     """
-    late = records.filter(F.col("verdict") != ON_TIME)
-    entry = state.select(F.col("period").alias("p"), F.col("value").alias("v"), F.col(f"n_{ON_TIME}").alias("n_at_close"), (F.col(f"n_{ON_TIME}") + F.col(f"n_{CORRECTED}")).alias("n_final"))
-    return late.join(entry, (F.col("period") == F.col("p")) & F.col("value").eqNullSafe(F.col("v"))).drop("p", "v")
+    base = records.filter(F.col("verdict") == ON_TIME).select("period", "value", F.lit(ON_TIME).alias("verdict"), F.lit(1).cast("long").alias("delta"))
+    entries = base.unionByName(change_log(records).drop("tie"))
+    n = lambda v, c: F.sum(F.when(F.col("verdict") == v, c).otherwise(0)).alias(f"n_{v}")
+    return entries.groupBy("period", "value").agg(n(ON_TIME, F.col("delta")), n(CORRECTED, F.col("delta")), n(DROPPED, F.lit(1) - F.col("delta")))
 
 
-def _coarse(v: Column) -> Column:
-    """A coarse bucket that never decreases as the value grows; NaN, the largest value, comes last."""
-    size = F.least(F.log2(F.lit(1.0) + F.abs(v)) * F.lit(256.0), F.lit(1e8))
-    return F.when(F.isnan(v), F.lit(10**9)).otherwise(F.floor(F.signum(v) * size)).cast("long")
+def changed_entries(state: DataFrame) -> DataFrame:
+    """The entries of the state that late records changed or came too late for: (period, value, n_at_close, n_final, n_dropped)."""
+    shown = state.select("period", "value", F.col(f"n_{ON_TIME}").alias("n_at_close"), (F.col(f"n_{ON_TIME}") + F.col(f"n_{CORRECTED}")).alias("n_final"), F.col(f"n_{DROPPED}").alias("n_dropped"))
+    return shown.filter((F.col("n_final") > F.col("n_at_close")) | (F.col("n_dropped") > 0))
 
 
 def period_aggregates(state: DataFrame) -> DataFrame:
@@ -65,26 +69,29 @@ def period_aggregates(state: DataFrame) -> DataFrame:
     _final (with the corrections), and n_corrected, n_dropped. Nulls count in n alone; a period without values has
     null statistics. NaN ranks above all numbers. The median of an even number is the mean of the middle two.
 
-    Ranks come from cumulative counts in two levels, coarse buckets of a period and then values of the bucket that
-    holds the middle, so no task sorts a whole period.
+    Ranks come from cumulative counts in two levels. The state is cut into ranges of (period, value), even in rows
+    whatever the values are since no two rows are alike; the counts of ranges tell which one holds a middle, and only
+    there are values counted up one by one. No task sorts a whole period.
     """
     counted = state.select("period", "value", F.col(f"n_{ON_TIME}").alias("c_close"), (F.col(f"n_{ON_TIME}") + F.col(f"n_{CORRECTED}")).alias("c_final"), F.col(f"n_{CORRECTED}").alias("n_corrected"), F.col(f"n_{DROPPED}").alias("n_dropped"))
+    ranged = counted.repartitionByRange("period", "value").withColumn("b", F.spark_partition_id())
+    ranged = materialize(ranged, "late-state")  # the numbers of ranges must not change between the two levels
     phases = ("close", "final")
     sums = [F.sum("n_corrected").alias("n_corrected"), F.sum("n_dropped").alias("n_dropped")]
     for x in phases:
         c, v = F.col(f"c_{x}"), F.when(F.col(f"c_{x}") > 0, F.col("value"))
         sums += [F.sum(c).alias(f"n_{x}"), F.sum(F.when(F.col("value").isNotNull(), c).otherwise(0)).alias(f"n_values_{x}"), F.count(v).alias(f"n_distinct_{x}"), F.min(v).alias(f"least_{x}"), F.max(v).alias(f"most_{x}"), F.sum(v * c).alias(f"total_{x}")]
-    whole = counted.groupBy("period").agg(*sums)
+    whole = ranged.groupBy("period").agg(*sums)
 
-    valued = counted.filter(F.col("value").isNotNull()).withColumn("b", _coarse(F.col("value")))
+    valued = ranged.filter(F.col("value").isNotNull())
     in_order = Window.partitionBy("period").orderBy("b")
-    buckets = valued.groupBy("period", "b").agg(*(F.sum(f"c_{x}").alias(f"c_{x}") for x in phases))
+    ranges = valued.groupBy("period", "b").agg(*(F.sum(f"c_{x}").alias(f"c_{x}") for x in phases))
     middle = {}
     for x in phases:
         n = F.sum(f"c_{x}").over(Window.partitionBy("period"))
         before = F.sum(f"c_{x}").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"c_{x}")
         middle |= {f"lo_{x}": F.floor((n + 1) / 2) - before, f"hi_{x}": F.floor((n + 2) / 2) - before}
-    ranked = buckets.withColumns(middle)
+    ranked = ranges.withColumns(middle)
     inside = lambda x: F.col(f"lo_{x}").between(1, F.col(f"c_{x}")) | F.col(f"hi_{x}").between(1, F.col(f"c_{x}"))
     held = ranked.filter(inside("close") | inside("final")).select("period", "b", *middle)
     near = valued.select("period", "b", "value", "c_close", "c_final").join(held, ["period", "b"])

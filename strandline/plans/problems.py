@@ -126,8 +126,13 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    records = _judged(spark, folder)
-    return late.adjustments(records, late.multisets(records)).select(F.col("tie").alias("log_id"), "verdict")
+    return late.change_log(_judged(spark, folder)).select(F.col("tie").alias("log_id"), "verdict")
+
+
+def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of the multisets that late records changed, with their counts at the period's end and at the cut-off."""
+    out = late.changed_entries(late.multisets(_judged(spark, folder)))
+    return out.withColumn("day_utc", day_string(F.col("period").cast("int"))).drop("period")
 
 
 def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +142,7 @@ def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_cells, p2_feature_table, p3_found, p3_per_key, p4_found, p4_rolling, p4_anchors, p5_found, p5_periods)
+    f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_cells, p2_feature_table, p3_found, p3_per_key, p4_found, p4_rolling, p4_anchors, p5_found, p5_entries, p5_periods)
 }
 
 
@@ -261,6 +266,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor_no, key_identity, da
 SELECT anchor_no, key_identity, {_DAY}, log_id, {_TOTALS}
 FROM ranked JOIN rolled USING (key_identity, day) WHERE anchor_max IS NULL OR rank <= anchor_max""",
     "p5_found": f"WITH {_JUDGED} SELECT log_id, verdict FROM judged WHERE verdict <> 'on_time'",
+    "p5_entries": f"""WITH {_JUDGED}
+SELECT {_DAY}, value, count(*) FILTER (WHERE verdict = 'on_time') AS n_at_close, count(*) FILTER (WHERE verdict <> 'dropped') AS n_final,
+  count(*) FILTER (WHERE verdict = 'dropped') AS n_dropped
+FROM judged GROUP BY day, value HAVING count(*) FILTER (WHERE verdict <> 'on_time') > 0""",
     "p5_periods": f"""WITH {_JUDGED}
 SELECT {_phase('close', "verdict = 'on_time'")}, {_phase('final', "verdict <> 'dropped'")},
   count(*) FILTER (WHERE verdict = 'corrected') AS n_corrected, count(*) FILTER (WHERE verdict = 'dropped') AS n_dropped, {_DAY}

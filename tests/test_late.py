@@ -54,13 +54,30 @@ def test_nan_and_infinities_rank_last_and_first(spark):
     assert x.least_close == float("-inf") and math.isnan(x.most_close) and x.median_close == 1.0
 
 
-def test_late_records_show_the_entry_they_change(spark):
-    rows = [(1, 1, 0, 0, 2.0), (2, 2, DAY, 0, 2.0), (3, 3, 9 * DAY, 0, 2.0), (4, 4, DAY, 0, None)]
+def test_late_records_show_what_they_change(spark):
+    rows = [(1, 1, 0, 0, 2.0), (2, 2, DAY, 0, 2.0), (3, 3, 9 * DAY, 0, 2.0), (4, 4, DAY, 0, None), (5, 5, 0, 0, 7.0)]
     records = judged(spark, rows)
-    got = {r.tie: (r.verdict, r.n_at_close, r.n_final) for r in late.adjustments(records, late.multisets(records)).collect()}
-    assert got == {2: ("corrected", 1, 2), 3: ("dropped", 1, 2), 4: ("corrected", 0, 1)}
+    assert {r.tie: (r.verdict, r.delta) for r in late.change_log(records).collect()} == {2: ("corrected", 1), 3: ("dropped", 0), 4: ("corrected", 1)}
+    got = {r.value: (r.n_at_close, r.n_final, r.n_dropped) for r in late.changed_entries(late.multisets(records)).collect()}
+    assert got == {2.0: (1, 2, 1), None: (0, 1, 0)}
+
+
+def test_close_values_are_spread_over_ranges(spark):
+    """A day whose values all lie close together is cut like any other, so that no task has to sort it whole."""
+    r = random.Random(3)
+    values = [1000 + r.random() for _ in range(4000)]
+    df = spark.createDataFrame([(i, i, 0, 0, v) for i, v in enumerate(values)], "uid long, tie long, a long, t long, value double")
+    state = late.multisets(late.judged(df, F.col("uid"), F.col("tie"), F.col("a"), F.col("t"), F.col("value")))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        (x,) = late.period_aggregates(state).collect()
+        parts = state.repartitionByRange("period", "value").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert x.median_final == statistics.median(values) and max(r["count"] for r in parts) < 1.5 * len(values) / len(parts) and len(parts) == 4
 
 
 def test_empty(spark):
     state = late.multisets(judged(spark, []))
-    assert late.period_aggregates(state).count() == 0 and late.adjustments(judged(spark, []), state).count() == 0
+    assert late.period_aggregates(state).count() == 0 and late.change_log(judged(spark, [])).count() == 0 and late.changed_entries(state).count() == 0
