@@ -27,6 +27,10 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_report(_packed(spark, folder))
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_check(table(spark, folder, "documents"), _packed(spark, folder), F.col("doc_id"), F.col("text"))
+
+
 def _mixed(spark: SparkSession, folder: str) -> mixing.Mixture:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), F.col("doc_id"), F.col("source"), F.col("text"), mixing.prose_weight(F.col("cell_kinds")))
 
@@ -55,10 +59,13 @@ def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _identified(spark, folder).select("doc_id", "cell_no", "para_no", "lang_found", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_packing, p6_report, p7_found, p7_selection, p7_report, p8_found, p8_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_packing, p6_report, p6_check, p7_found, p7_selection, p7_report, p8_found, p8_languages)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """SELECT b.bin_name, d.doc_id FROM documents d JOIN pack_bins b ON strlen(d.text) > b.capacity_tokens""",
+    "p6_check": """SELECT b.bin_name, CAST(sum(greatest(1, ceil(coalesce(strlen(d.text), 0) / b.capacity_tokens))) AS BIGINT) AS n_pieces,
+  CAST(sum(coalesce(strlen(d.text), 0)) AS BIGINT) AS tokens, 0::BIGINT AS n_overfull, 0::BIGINT AS n_uncalled_cuts, 0::BIGINT AS n_misplaced
+FROM documents d, pack_bins b GROUP BY b.bin_name""",
     "p7_found": """WITH sizes AS (SELECT lower(trim(source)) AS s, sum(strlen(text)) AS n FROM documents GROUP BY 1)
 SELECT t.source FROM mix_targets t LEFT JOIN sizes z ON z.s = lower(trim(t.source))
 WHERE coalesce(z.n, 0) * t.max_repeats < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",

@@ -112,6 +112,58 @@ def test_scores_are_bm25_by_brute_force():
         assert np.allclose(index.scores(q), want, rtol=1e-4)
 
 
+def test_nearest_are_the_highest_scores_in_order():
+    r = np.random.default_rng(2)
+    for n, most in ((50, 10), (5, 10), (200, 200)):
+        scores = r.integers(0, 12, n).astype(float)
+        got = packing.best_first(scores, most)
+        assert sorted(scores[got], reverse=True) == list(scores[got]) == sorted(scores, reverse=True)[:most]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_kept_ranking_changes_nothing_but_the_work(seed):
+    """With a ranking as long as the shard, filling goes as it would by the scores alone."""
+    r = np.random.default_rng(seed)
+    sizes, score = r.integers(1, 60, 150), r.random((150, 150))
+    plain = packing.fill(sizes, 200, lambda i: score[i])
+    assert packing.fill(sizes, 200, lambda i: score[i], lambda i: packing.best_first(score[i], 150)) == plain
+
+
+def test_loose_containers_are_packed_again_by_their_neighbours(spark):
+    """Topics of two documents each, alone in their shards: what is left of all shards must meet by topic."""
+    topics = ["aaa bbb ccc", "ddd eee fff", "ggg hhh iii", "jjj kkk lll"]
+    rows = [(i, " ".join([topics[i % 4]] * 40)[:450], f"host{i}") for i in range(8)]
+    got = packed(spark, rows, (1000,), 8_000)
+    assert {r.shard < 0 for r in got.collect()} == {True}
+    boxes = defaultdict(set)
+    for r in got.collect():
+        boxes[r.shard, r.container].add(r.doc_id % 4)
+    assert all(len(b) == 1 for b in boxes.values()) and len(boxes) == 4
+
+
+def test_capacity_must_be_small_beside_a_shard(spark):
+    with pytest.raises(ValueError, match="shard_tokens"):
+        packed(spark, documents(3), (64, 2000), 8_000)
+
+
+def test_the_check_finds_what_is_wrong(spark):
+    df = spark.createDataFrame([(1, "a" * 10), (2, "b" * 30), (3, None)], "doc_id long, text string")
+    schema = "bin_name string, capacity long, shard long, container int, slot int, doc_id long, piece int, piece_start long, piece_tokens long"
+    check = lambda rows: packing.packing_check(df, spark.createDataFrame(rows, schema), F.col("doc_id"), F.col("text")).collect()[0]
+    good = [("b", 20, 0, 0, 0, 1, 0, 0, 10), ("b", 20, 0, 0, 1, 2, 1, 20, 10), ("b", 20, 0, 1, 0, 2, 0, 0, 20), ("b", 20, 0, 0, 2, 3, 0, 0, 0)]
+    assert tuple(check(good).asDict()[c] for c in ("n_pieces", "tokens", "n_overfull", "n_uncalled_cuts", "n_misplaced")) == (4, 40, 0, 0, 0)
+    bad = [("b", 20, 0, 0, 0, 1, 0, 0, 5), ("b", 20, 0, 0, 1, 1, 1, 5, 5), ("b", 20, 0, 0, 2, 2, 0, 0, 20), ("b", 20, 0, 1, 0, 3, 0, 0, 1)]
+    assert tuple(check(bad).asDict()[c] for c in ("n_overfull", "n_uncalled_cuts", "n_misplaced")) == (1, 1, 2)
+
+
+def test_a_host_with_a_third_of_all_tokens_is_split(spark):
+    rows = [(7, "word " * 60, "hot")] * 100 + [(i, "text " * 30, f"h{i}") for i in range(300)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA).withColumn("row", F.monotonically_increasing_id())
+    vectors = df.select(F.col("doc_id").alias("id"), F.xxhash64("repo").alias("host"), F.length("text").cast("long").alias("tokens"), "row")
+    per_shard = [r["sum(tokens)"] for r in packing._sharded(vectors, 8_000).groupBy("shard").agg(F.sum("tokens")).collect()]
+    assert sum(per_shard) == sum(len(t) for _, t, _ in rows) and max(per_shard) < 2 * 8_000
+
+
 def test_neighbours_share_a_container():
     """Three topics of four items each, and containers of four: every container holds one topic."""
     topic = np.repeat([0, 1, 2], 4)
