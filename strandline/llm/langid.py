@@ -1,7 +1,8 @@
 """Languages of documents and of their prose paragraphs, by fusing several kinds of evidence.
 
 Text: every paragraph gets a log-likelihood per language from a character and word model trained on labelled
-samples. Declarations: how often a declared label, or an ending of the document's address, goes with each
+samples. The texts are read once; on the way the words of a bounded draw of labelled documents come out, on which the
+model is refined, and those of paragraphs that it could not tell clearly, which are then judged again. Declarations: how often a declared label, or an ending of the document's address, goes with each
 language is counted over the whole corpus. Host: the languages of the other documents of the same host, smoothed
 towards its source and that towards the corpus. Bayes' rule joins them into a posterior per document, which in
 turn is the prior of its paragraphs. A paragraph's text decides far more than any declaration: the declarations
@@ -14,8 +15,9 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,10 @@ from strandline.session import materialize
 MOST_SAMPLES = 100_000
 #: Most labelled documents of each language that the text model is refined on.
 MOST_LABELLED = 300
-SUFFIXES = 64
+#: An ending of addresses counts on its own from this share of the documents on, so at most so many to one do; the others count together.
+RARE_ENDING = 1e-3
+#: A paragraph whose two likeliest languages differ by less than this, in log-likelihood, is judged again by the refined model.
+CLEAR = 60.0
 #: Share of a paragraph's vote that no text can take from the other languages.
 VOTE_FLOOR = 1e-5
 #: Prior odds that a paragraph is in its document's language.
@@ -42,7 +47,7 @@ _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(f"[{_CJK}]+|[^\\W\\d_{_CJK}]+")
 _IS_CJK = re.compile(f"[{_CJK}]")
 #: What has no language: images, code spans, formulas, addresses, quoted messages, tags.
-_SILENT = re.compile(r"!\[[^\]]*\]\([^)]*\)|```.*?```|``.*?``|`[^`]*`|\$\$.*?\$\$|\$[^$\n]*\$|(?:https?|ftp)://[^\s)>\]]+|www\.[^\s)>\]]+|\"[^\"]*\"|“[^”]*”|<[a-zA-Z/][^>]*>", re.S)
+_SILENT = re.compile(r"!\[[^\]]*\]\([^)]*\)|```.*?```|``.*?``|`[^`]*`|\$\$.*?\$\$|\$[^$\n]*\$|(?i:https?|ftp)://[^\s)>\]]+|(?i:www)\.[^\s)>\]]+|\"[^\"]*\"|“[^”]*”|<[a-zA-Z/][^>]*>", re.S)
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -84,20 +89,19 @@ class TextModel:
     unseen: float = 0.0
 
     @classmethod
-    def fit(cls, samples: list[tuple[str, str]]) -> TextModel:
-        """From (language, text) pairs. Words are also learnt without accents, at a tenth of their weight."""
+    def fit(cls, samples: list[tuple[str, str]], more: Iterable[tuple[str, str, int]] = ()) -> TextModel:
+        """From (language, text) pairs and (language, word, count). Words are also learnt without accents, at a tenth of their weight."""
         langs = sorted({lang for lang, text in samples if lang and text})
         if not langs:
             raise ValueError("no labelled samples")
         at = {lang: i for i, lang in enumerate(langs)}
         n = len(langs)
         words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for lang, text in samples:
-            if lang and text:
-                for w, c in Counter(words_of(text)).items():
-                    words[w][at[lang]] += c
-                    if (plain := _unaccented(w)) != w:
-                        words[plain][at[lang]] += 0.1 * c
+        counted = ((lang, w, c) for lang, text in samples if lang and text for w, c in Counter(words_of(text)).items())
+        for lang, w, c in chain(counted, more):
+            words[w][at[lang]] += c
+            if (plain := _unaccented(w)) != w:
+                words[plain][at[lang]] += 0.1 * c
         counts: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(4)]
         for w, c in words.items():
             weight = np.sqrt(c)
@@ -146,20 +150,70 @@ def _cells(text: Column) -> Column:
     return F.filter(numbered, lambda c: (c["i"] >= 0) & c["x"].startswith("[markdown]"))
 
 
-_SCORED = "_id bigint, _label string, _suffix int, _host string, _source string, _first int, _votes binary, _cell binary, _para binary, _ll binary"
+_SCORED = "_id bigint, _label string, _suffix string, _host string, _source string, _first int, _votes binary, _cell binary, _para binary, _ll binary, _unclear array<string>, _teaching string"
+_SCORED_TYPES = [pa.int64(), *[pa.string()] * 4, pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string()), pa.string()]
+
+
+class _Words:
+    """Log-probabilities of words, computed once each as far as memory goes."""
+
+    def __init__(self, model: TextModel):
+        self.model, self.place, self.known = model, {}, np.zeros((1024, len(model.langs)))
+
+    def spots(self, words: list[str]) -> list[int]:
+        out = []
+        for w in words:
+            spot = self.place.get(w)
+            if spot is None:
+                spot = self.place[w] = len(self.place)
+                if spot == len(self.known):
+                    self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+                self.known[spot] = self.model.word(w)
+            out.append(spot)
+        return out
+
+    def sums(self, at: list[int], length: list[int]) -> np.ndarray:
+        """The likelihoods of runs of ``length`` words each."""
+        ends = np.cumsum(length)
+        return np.add.reduceat(self.known[np.array(at)], ends - np.array(length), axis=0)
+
+    def trim(self) -> None:
+        if len(self.place) > _CACHE_WORDS:
+            self.place.clear()
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(axis=-1, keepdims=True))
+    return p / p.sum(axis=-1, keepdims=True)
+
+
+def _votes(ll: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per document the summed log-posteriors of its paragraphs, none of which can rule a language out."""
+    n = ll.shape[1]
+    votes = np.zeros((n_docs, n))
+    np.add.at(votes, owner, np.log(_softmax(ll) * (1 - n * VOTE_FLOOR) + VOTE_FLOOR))
+    return votes
+
+
+def _pieces(x: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of byte strings, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind), np.array([len(r) // 4 for r in rows], int)
 
 
 def _score(model: TextModel):
-    n = len(model.langs)
+    n, langs = len(model.langs), model.langs
     names = [c.split()[0] for c in _SCORED.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        known = np.zeros((1024, n))
+        words_known = _Words(model)
         for b in batches:
-            cells = b.column(5).to_pylist()
-            at, owner, cell_no, para_no, length = [], [], [], [], []
+            cells, drawn, labels = b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(1).to_pylist()
+            at, owner, cell_no, para_no, words_in = [], [], [], [], []
             for d, found in enumerate(cells):
                 for c in found or ():
                     _, _, body = c["x"].partition("\n")
@@ -167,35 +221,53 @@ def _score(model: TextModel):
                         words = words_of(paragraph)
                         if not words:
                             continue
-                        for w in words:
-                            spot = place.get(w)
-                            if spot is None:
-                                spot = place[w] = len(place)
-                                if spot == len(known):
-                                    known = np.concatenate([known, np.zeros_like(known)])
-                                known[spot] = model.word(w)
-                            at.append(spot)
+                        at += words_known.spots(words)
                         owner.append(d)
                         cell_no.append(c["i"])
                         para_no.append(j)
-                        length.append(len(words))
-            votes = np.zeros((len(cells), n))
-            if owner:
-                ends = np.cumsum(length)
-                ll = np.add.reduceat(known[np.array(at)], ends - np.array(length), axis=0)
-                p = np.exp(ll - ll.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                np.add.at(votes, np.array(owner), np.log(p * (1 - n * VOTE_FLOOR) + VOTE_FLOOR))
-            else:
-                ll = np.zeros((0, n))
-            ll32 = np.ascontiguousarray(ll, "<f4")
-            bounds = np.searchsorted(np.array(owner, int), np.arange(len(cells) + 1))
-            cut = lambda x: [np.ascontiguousarray(x[bounds[d] : bounds[d + 1]]).tobytes() for d in range(len(cells))]
-            has = np.diff(bounds) > 0
-            arrays = [*(b.column(i) for i in range(5)), np.where(has, votes.argmax(axis=1), -1), [v.astype("<f4").tobytes() for v in votes], cut(np.array(cell_no, "<i4")), cut(np.array(para_no, "<i4")), cut(ll32)]
-            yield pa.RecordBatch.from_arrays([(a if isinstance(a, pa.Array) else pa.array(a)).cast(t) for a, t in zip(arrays, types)], names=names)
-            if len(place) > _CACHE_WORDS:
-                place.clear()
+                        words_in.append(words)
+            who = np.array(owner, int)
+            ll = words_known.sums(at, [len(w) for w in words_in]) if owner else np.zeros((0, n))
+            votes = _votes(ll, who, len(cells))
+            ordered = np.sort(ll, axis=1)
+            unclear = ordered[:, -1] - ordered[:, -2] < CLEAR if n > 1 else np.zeros(len(ll), bool)
+            top = ll.argmax(axis=1) if len(ll) else np.zeros(0, int)
+            bounds = np.searchsorted(who, np.arange(len(cells) + 1))
+            kept, teaching = [], []
+            for d, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
+                kept.append([" ".join(words_in[k]) if unclear[k] else "" for k in range(i, j)])
+                teaching.append(" ".join(w for k in range(i, j) if langs[top[k]] == labels[d] for w in words_in[k]) if drawn[d] else None)
+            first = np.where(np.diff(bounds) > 0, votes.argmax(axis=1), -1)
+            made = [first, [v.tobytes() for v in votes.astype("<f4")], _pieces(np.array(cell_no, "<i4"), bounds), _pieces(np.array(para_no, "<i4"), bounds), _pieces(ll.astype("<f4"), bounds), kept, teaching]
+            arrays = [*(b.column(i) for i in range(5)), *map(pa.array, made)]
+            yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, _SCORED_TYPES)], names=names)
+            words_known.trim()
+
+    return run
+
+
+def _rescore(model: TextModel):
+    """Paragraphs that were unclear, judged again; the words go."""
+    n = len(model.langs)
+    names = [c.split()[0] for c in _SCORED.split(", ")][:10]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_known = _Words(model)
+        for b in batches:
+            flat, sizes = _flat(b.column(9), "<f4")
+            ll, counts = flat.reshape(-1, n).copy(), sizes // n
+            texts = b.column(10).flatten().to_pylist()
+            again = np.array([i for i, t in enumerate(texts) if t], int)
+            first, votes = b.column(5), b.column(6)
+            if len(again):
+                words = [texts[i].split(" ") for i in again]
+                ll[again] = words_known.sums([s for w in words for s in words_known.spots(w)], [len(w) for w in words])
+                v = _votes(ll.astype(float), np.repeat(np.arange(b.num_rows), counts), b.num_rows)
+                first, votes = pa.array(np.where(counts > 0, v.argmax(axis=1), -1), pa.int32()), pa.array([x.tobytes() for x in v.astype("<f4")])
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            arrays = [*(b.column(i) for i in range(5)), first, votes, b.column(7), b.column(8), pa.array(_pieces(ll, bounds))]
+            yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, _SCORED_TYPES)], names=names)
+            words_known.trim()
 
     return run
 
@@ -203,39 +275,46 @@ def _score(model: TextModel):
 _JUDGED = "doc_id bigint, cell_no int, para_no int, lang_found string, confidence double, is_case boolean"
 
 
-def _fuse(langs: list[str], label_lp: dict[str, list[float]], suffix_lp: list[list[float]]):
+@dataclass(frozen=True)
+class Declarations:
+    """Log-probabilities, given the language, of each label and each ending, rare endings under None; and the languages' shares."""
+
+    labels: dict[str, np.ndarray]
+    endings: dict[str | None, np.ndarray]
+    overall: np.ndarray
+
+
+def _fuse(langs: list[str], declared: Declarations):
     n = len(langs)
-    labels = {k: np.array(v) for k, v in label_lp.items()}
-    suffixes = np.array(suffix_lp)
     names = [c.split()[0] for c in _JUDGED.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
 
-    def softmax(x: np.ndarray) -> np.ndarray:
-        p = np.exp(x - x.max(axis=-1, keepdims=True))
-        return p / p.sum(axis=-1, keepdims=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stay = np.full((n, n), math.log((1 - SAME_LANGUAGE) / max(1, n - 1)))
         np.fill_diagonal(stay, math.log(SAME_LANGUAGE))
+        other = declared.endings[None]
         for b in batches:
-            c = {k: b.column(i).to_pylist() for i, k in enumerate(b.schema.names)}
-            rows: list[list] = [[] for _ in types]
-            for d in range(b.num_rows):
-                votes = np.frombuffer(c["_votes"][d], "<f4").astype(float)
-                post = softmax(votes + labels[c["_label"][d]] + suffixes[c["_suffix"][d]] + np.log(np.array(c["_prior"][d])))
-                best = int(post.argmax())
-                ll = np.frombuffer(c["_ll"][d], "<f4").reshape(-1, n).astype(float)
-                for col, v in zip(rows, (c["_id"][d], -1, -1, langs[best], float(post[best]), bool(len(ll)) and c["_label"][d] != langs[best])):
-                    col.append(v)
-                if not len(ll):
-                    continue
-                each = softmax(ll + stay[best])
-                top = each.argmax(axis=1)
-                cell, para = np.frombuffer(c["_cell"][d], "<i4"), np.frombuffer(c["_para"][d], "<i4")
-                for i in np.flatnonzero(top != best):
-                    for col, v in zip(rows, (c["_id"][d], int(cell[i]), int(para[i]), langs[top[i]], float(each[i, top[i]]), True)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=names)
+            if not b.num_rows:
+                continue
+            c = {k: b.column(i) for i, k in enumerate(b.schema.names)}
+            labels, endings = c["_label"].to_pylist(), c["_suffix"].to_pylist()
+            evidence = np.array([declared.labels[x] for x in labels]) + np.array([declared.endings.get(x, other) for x in endings])
+            prior = np.array(c["_prior"].flatten().to_numpy(zero_copy_only=False)).reshape(-1, n)
+            post = _softmax(_flat(c["_votes"], "<f4")[0].reshape(-1, n) + evidence + np.log(prior))
+            best = post.argmax(axis=1)
+            flat, sizes = _flat(c["_ll"], "<f4")
+            ll, counts = flat.reshape(-1, n).astype(float), sizes // n
+            owner = np.repeat(np.arange(b.num_rows), counts)
+            each = _softmax(ll + stay[best[owner]])
+            top = each.argmax(axis=1) if len(each) else np.zeros(0, int)
+            out = np.flatnonzero(top != best[owner])
+            ids, name = c["_id"].to_numpy(zero_copy_only=False), np.array(langs, object)
+            right = np.array([x == langs[k] for x, k in zip(labels, best)])
+            columns = [
+                np.concatenate([ids, ids[owner[out]]]), np.concatenate([np.full(b.num_rows, -1), _flat(c["_cell"], "<i4")[0][out]]), np.concatenate([np.full(b.num_rows, -1), _flat(c["_para"], "<i4")[0][out]]),
+                np.concatenate([name[best], name[top[out]]]), np.concatenate([post[np.arange(b.num_rows), best], each[out, top[out]]]), np.concatenate([(counts > 0) & ~right, np.ones(len(out), bool)]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True).cast(t) for x, t in zip(columns, types)], names=names)
 
     return run
 
@@ -246,41 +325,18 @@ def label_code(label: Column, langs: list[str]) -> Column:
     return F.when(F.coalesce(F.trim(label), F.lit("")) == "", "none").when(code.isin(langs), code).otherwise("other")
 
 
-def labelled_samples(samples: DataFrame) -> list[tuple[str, str]]:
-    """(lang, sample_text) of at most MOST_SAMPLES rows; rows with a null in either are left out."""
-    rows = samples.select("lang", "sample_text").filter("lang is not null and sample_text is not null").limit(MOST_SAMPLES).collect()
-    return [(r.lang, r.sample_text) for r in rows]
-
-
-def agreeing_samples(model: TextModel, labelled: list[tuple[str, list]]) -> list[tuple[str, str]]:
-    """(language, paragraph) for the paragraphs of labelled documents that the model, too, puts in the label's language."""
-    out, seen = [], {}
-    for label, cells in labelled:
-        for c in cells or ():
-            for paragraph in paragraphs_of(c["x"].partition("\n")[2]):
-                words = words_of(paragraph)
-                for w in words:
-                    if w not in seen:
-                        seen[w] = model.word(w)
-                if words and model.langs[int(np.sum([seen[w] for w in words], axis=0).argmax())] == label:
-                    out.append((label, paragraph))
-    return out
-
+def labelled_samples(samples: DataFrame, most: int = MOST_SAMPLES) -> list[tuple[str, str]]:
+    """(lang, sample_text) of the samples, about ``most`` of them chosen by hash if there are more; rows with a null in either are left out."""
+    rows = samples.select("lang", "sample_text").filter("lang is not null and sample_text is not null")
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(_draw(F.xxhash64("lang", "sample_text")) < most / n)
+    return [(r.lang, r.sample_text) for r in rows.collect()]
 
-def refined(model: TextModel, samples: list[tuple[str, str]], narrow: DataFrame) -> TextModel:
-    """The model fitted anew on the samples and on a bounded, hashed choice of labelled documents.
 
-    At most about MOST_LABELLED documents of each language are read for it. Labels are not trusted: only paragraphs
-    on which label and first model agree teach. It brings in the words of the corpus itself.
-    """
-    named = narrow.filter(F.col("_label").isin(model.langs))
-    shares = {r._label: MOST_LABELLED / r["count"] for r in named.groupBy("_label").count().collect()}
-    if not shares:
-        return model
-    draw = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.element_at(F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v))))), F.col("_label"))
-    rows = named.filter(draw < share).select("_label", "_cells").limit(2 * MOST_LABELLED * len(model.langs)).collect()
-    return TextModel.fit([*samples, *agreeing_samples(model, [(r._label, r._cells) for r in rows])])
+def _draw(h: Column) -> Column:
+    """A number in [0, 1) out of a hash."""
+    return F.pmod(h, F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
 def identify(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", address: str = "nb_path", host: str = "repo", source: str = "source") -> DataFrame:
@@ -290,52 +346,75 @@ def identify(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text:
     document's. ``is_case`` marks paragraph rows, and document rows whose label is not that language's code although
     the document has prose. A null or empty text, or one without prose, gets the language that its declarations and host
     make likeliest. Null labels, addresses, hosts and sources are evidence of their own kind. Repeated ids are
-    treated row by row. Texts are read whole.
+    treated row by row. Texts are read whole, and once.
     """
     known = labelled_samples(samples)
     model = TextModel.fit(known)
     langs, n = model.langs, len(model.langs)
-    ending = F.regexp_extract(F.coalesce(F.lower(F.col(address)), F.lit("")), r"((\.[^./]+){0,2})$", 1)
-    narrow = docs.select(
-        F.col(doc_id).cast("long").alias("_id"), label_code(F.col(label), langs).alias("_label"), F.pmod(F.xxhash64(ending), F.lit(SUFFIXES)).cast("int").alias("_suffix"),
-        F.concat_ws("\u0001", F.coalesce(F.trim(F.lower(F.col(source))), F.lit("")), F.coalesce(F.col(host), F.lit("")), F.lit("")).alias("_host"),
-        F.coalesce(F.trim(F.lower(F.col(source))), F.lit("")).alias("_source"), _cells(F.col(text)).alias("_cells"),
-    )
-    model = refined(model, known, narrow)
-    scored = materialize(narrow.mapInArrow(_score(model), _SCORED), "scored-paragraphs", arrow_rows=2000)
+    scored = scored_paragraphs(docs, known, model, doc_id, text, label, address, host, source)
 
     spoken = scored.filter("_first >= 0")
     per_host = spoken.groupBy("_host", "_source", "_first").agg(F.count(F.lit(1)).alias("c"))
-    label_lp, suffix_lp, overall = _declarations(spoken, langs)
+    declared = declarations(spoken, langs)
 
     counts = lambda df, key: df.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_first", "c"))).alias("m"))
     dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
     smoothed = lambda own, wider: F.zip_with(own, wider, lambda a, w: (a + w * HOST_STRENGTH) / (F.aggregate(own, F.lit(0.0), lambda x, y: x + y) + HOST_STRENGTH))
-    whole = F.array(*(F.lit(float(x)) for x in overall))
+    whole = F.array(*(F.lit(float(x)) for x in declared.overall))
     by_source = counts(per_host.groupBy("_source", "_first").agg(F.sum("c").alias("c")), ["_source"]).select("_source", smoothed(dense(F.col("m")), whole).alias("_wider"))
     by_host = counts(per_host, ["_host", "_source"]).join(by_source, "_source").select("_host", dense(F.col("m")).alias("_own"), "_wider")
 
-    plan = skew.plan_loads(skew.key_loads(scored, F.col("_host")), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plan = skew.plan_for(scored, F.col("_host"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     joined = skew.balanced_join(scored.drop("_source"), by_host, "_host", plan)
     zeros = F.array(*[F.lit(0.0)] * n)
     others = F.transform(F.coalesce("_own", zeros), lambda x, i: F.when(i == F.col("_first"), x - 1).otherwise(x))
     prior = smoothed(F.col("_others"), F.coalesce("_wider", whole))
     ready = joined.withColumn("_others", others).select("_id", "_label", "_suffix", "_votes", "_cell", "_para", "_ll", prior.alias("_prior"))
-    return ready.mapInArrow(_fuse(langs, label_lp, suffix_lp), _JUDGED)
+    return ready.mapInArrow(_fuse(langs, declared), _JUDGED)
+
+
+def scored_paragraphs(docs: DataFrame, known: list[tuple[str, str]], model: TextModel, doc_id: str, text: str, label: str, address: str, host: str, source: str) -> DataFrame:
+    """The likelihoods of all paragraphs, by a model fitted on the samples and refined on the corpus.
+
+    About MOST_LABELLED documents of each label, drawn by hash, teach the refined model. Labels are not trusted: only
+    paragraphs on which label and first model agree teach. It brings in the words of the corpus itself. What reaches the
+    driver are the counts of their words.
+    """
+    langs = model.langs
+    code = label_code(F.col(label), langs)
+    shares = {r.k: MOST_LABELLED / r["count"] for r in docs.select(code.alias("k")).filter(F.col("k").isin(langs)).groupBy("k").count().collect()}
+    share = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("_label")] if shares else F.lit(None).cast("double")
+    ending = F.regexp_extract(F.coalesce(F.lower(F.col(address)), F.lit("")), r"((\.[^./]+){0,2})$", 1)
+    plain = F.coalesce(F.trim(F.lower(F.col(source))), F.lit(""))
+    narrow = docs.select(
+        F.col(doc_id).cast("long").alias("_id"), code.alias("_label"), ending.alias("_suffix"), F.concat_ws("\u0001", plain, F.coalesce(F.col(host), F.lit("")), F.lit("")).alias("_host"), plain.alias("_source"), _cells(F.col(text)).alias("_cells"),
+    )
+    drawn = F.coalesce(_draw(F.xxhash64("_id", F.lit(7))) < share, F.lit(False))
+    scored = materialize(narrow.withColumn("_drawn", drawn).mapInArrow(_score(model), _SCORED), "scored-paragraphs")
+    words = scored.filter("_teaching <> ''").select("_label", F.explode(F.split("_teaching", " ", -1)).alias("w"))
+    taught = [(r._label, r.w, r.c) for r in words.groupBy("_label", "w").agg(F.count(F.lit(1)).alias("c")).collect()]
+    kept = ", ".join(_SCORED.split(", ")[:10])
+    if not taught:
+        return scored.drop("_unclear", "_teaching")
+    return materialize(scored.mapInArrow(_rescore(TextModel.fit(known, taught)), kept), "judged-paragraphs")
 
 
-def _declarations(spoken: DataFrame, langs: list[str]) -> tuple[dict[str, list[float]], list[list[float]], np.ndarray]:
-    """Log-probabilities of each label and of each bucket of endings given the language, and the languages' shares.
+def declarations(spoken: DataFrame, langs: list[str]) -> Declarations:
+    """How labels and endings go with languages, counted over all documents that have prose.
 
-    Counted over all documents; the tables have a fixed number of rows, whatever the number of documents.
+    An ending on fewer than RARE_ENDING of the documents counts as rare, so that at most 1 / RARE_ENDING are told apart,
+    whatever the number of documents.
     """
     n, kinds = len(langs), [*langs, "other", "none"]
-    label_c, suffix_c = np.full((len(kinds), n), 1.0), np.full((SUFFIXES, n), 1.0)
-    grouped = spoken.groupBy("_label", "_suffix", "_first").agg(F.count(F.lit(1)).alias("c")).collect()
-    for r in grouped:
-        label_c[kinds.index(r._label), r._first] += r.c
-        suffix_c[r._suffix, r._first] += r.c
-    overall = (label_c.sum(axis=0) - len(kinds) + 1) / (label_c.sum() - len(kinds) * n + n)
-    label_lp = np.log(label_c / label_c.sum(axis=0))
-    suffix_lp = np.log(suffix_c / suffix_c.sum(axis=0))
-    return {k: list(map(float, v)) for k, v in zip(kinds, label_lp)}, [list(map(float, v)) for v in suffix_lp], overall
+    total = spoken.count()
+    common = spoken.groupBy("_suffix").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= max(1.0, RARE_ENDING * total))
+    endings = [r._suffix for r in common.select("_suffix").collect()]
+    label_c = {k: np.full(n, 1.0) for k in kinds}
+    ending_c: dict[str | None, np.ndarray] = {e: np.full(n, 1.0) for e in (*endings, None)}
+    known = F.when(F.col("_suffix").isin(endings), F.col("_suffix"))
+    for r in spoken.groupBy("_label", known.alias("e"), "_first").agg(F.count(F.lit(1)).alias("c")).collect():
+        label_c[r._label][r._first] += r.c
+        ending_c[r.e][r._first] += r.c
+    spread = lambda counts: {k: np.log(v / sum(counts.values())) for k, v in counts.items()}
+    overall = sum(label_c.values()) - len(kinds) + 1
+    return Declarations(spread(label_c), spread(ending_c), overall / overall.sum())

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import langid
 
@@ -52,6 +53,61 @@ def test_host_and_label_decide_where_the_text_is_torn(spark, samples):
     assert got[100, -1, -1].lang_found == "fr" and got[101, -1, -1].lang_found == "en" and got[102, -1, -1].lang_found == "fr"
 
 
+def test_an_ending_alone_decides_where_nothing_else_speaks(spark, samples):
+    """Documents without prose, label and host of their own: only the ending of the address tells them apart."""
+    taught = [(i, cells(FR if i % 2 else EN), None, f"a/x{i}.{'fr' if i % 2 else 'en'}.nb", None, None) for i in range(40)]
+    silent = [(100, cells("!x = 1"), None, "b/y.fr.nb", None, None), (101, None, None, "z.en.nb", None, None), (102, "", None, "q.zz.nb", None, None)]
+    got = run(spark, samples, taught + silent)
+    assert got[100, -1, -1].lang_found == "fr" and got[101, -1, -1].lang_found == "en"
+    assert got[100, -1, -1].confidence > 0.8 > got[102, -1, -1].confidence and not got[100, -1, -1].is_case
+
+
+def test_endings_are_told_apart_and_rare_ones_count_together(spark, monkeypatch):
+    monkeypatch.setattr(langid, "RARE_ENDING", 0.1)
+    rows = [("none", ".fr.nb", 1)] * 30 + [("none", ".en.nb", 0)] * 50 + [("none", f".r{i}.nb", 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "_label string, _suffix string, _first int")
+    found = langid.declarations(df, ["en", "fr"])
+    assert set(found.endings) == {".fr.nb", ".en.nb", None}
+    assert found.endings[".fr.nb"][1] > found.endings[".fr.nb"][0] and found.endings[".en.nb"][0] > found.endings[".en.nb"][1]
+    assert abs(found.overall.sum() - 1) < 1e-9 and found.endings[None][1] > found.endings[None][0]
+
+
+def test_samples_beyond_the_bound_are_drawn_by_hash(spark):
+    df = spark.createDataFrame([("en", f"text number {i}") for i in range(4000)], "lang string, sample_text string")
+    some = langid.labelled_samples(df, 1000)
+    assert 850 < len(some) < 1150 and sorted(some) == sorted(langid.labelled_samples(df.orderBy(F.desc("sample_text")), 1000))
+    assert len(langid.labelled_samples(df, 4000)) == 4000
+
+
+def test_texts_are_read_once(spark, samples, tmp_path):
+    """Only one scan of the documents asks for their text."""
+    at = str(tmp_path / "docs")
+    spark.createDataFrame([(i, cells(EN), "en", "p", "h", "s", *["x", "y", 1, "z"]) for i in range(20)], SCHEMA).write.parquet(at)
+    docs, scans, plain = spark.read.parquet(at), [], langid.materialize
+    try:
+        langid.materialize = lambda df, label: (scans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, label))[1]
+        out = langid.identify(docs, samples)
+        scans.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        langid.materialize = plain
+    assert sum(line.count("text#") > 0 for s in scans for line in s.splitlines() if "FileScan" in line and at in line) == 1
+
+
+def test_confidence_of_held_out_segments_is_calibrated(con):
+    """Where the model is sure of short segments it was not fitted on, it is right that often: mean confidence and accuracy agree."""
+    rows = con.sql("SELECT lang, sample_text FROM lang_samples ORDER BY sample_id").fetchall()
+    model = langid.TextModel.fit([r for i, r in enumerate(rows) if i % 3])
+    sure, right = [], []
+    for lang, text in rows[::3]:
+        words = langid.words_of(text)
+        for i in range(0, len(words), 3):
+            p = langid._softmax(sum((model.word(w) for w in words[i : i + 3]), start=0)[None])[0]
+            sure.append(p.max())
+            right.append(model.langs[int(p.argmax())] == lang)
+    print(f"{len(sure)} segments of three words: mean confidence {sum(sure) / len(sure):.3f}, accuracy {sum(right) / len(right):.3f}")
+    assert abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.05
+
+
 def test_text_beats_a_wrong_label_and_host(spark, samples):
     rows = [(i, cells(FR), "fr", "p", "h", "s") for i in range(50)] + [(99, cells(EN), "fr", "p", "h", "s")]
     got = run(spark, samples, rows)
@@ -70,6 +126,7 @@ def test_empty_table_repeated_rows_and_a_very_long_text(spark, samples):
 def test_paragraphs_and_words():
     assert langid.paragraphs_of("\n a\nb\n \n\t\nc\n") == [" a\nb", "c"]
     assert langid.paragraphs_of("") == []
+    assert langid.words_of("ТАК (HTTPS://DATA39.EXAMPLE/RESAMPLE) WWW.x.example www") == ["так", "www"]
     assert langid.words_of("# A `b c` $d$ [link](https://e.example/f) \"g h\" 数据集 x9y") == ["a", "link", "数据", "据集", "x", "y"]
 
 
