@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Intermediate tables of this process.
+_WRITTEN: list[str] = []
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "strandline", **conf: str) -> SparkSession:
     """A local session for tests, the CLI and the bench. On a cluster the caller brings its own session."""
@@ -45,20 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: one computation, no lineage.
 
-    The files survive lost executors. They stay until the folder is cleared by its owner. ``arrow_rows`` bounds the rows
-    that Python functions in ``df`` get at a time, for rows that may be large; the session's own setting comes back after.
+    The files survive lost executors. They stay until ``release`` removes them, or the owner of the folder does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        if arrow_rows is not None:
-            spark.conf.set(key, str(arrow_rows))
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    _WRITTEN.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this process has written, and says how many; results that read them are void then."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
