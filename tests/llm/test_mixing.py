@@ -35,6 +35,44 @@ def test_shares_come_out_and_the_cap_holds(spark):
     assert {r.times for r in taken if r.source == "small"} == {2} and {r.times for r in taken if r.source == "big"} == {1}
 
 
+@pytest.mark.parametrize("heavy", [1000.0, 1.0, 0.001])
+def test_ranges_are_even_whatever_the_weights(spark, heavy, monkeypatch):
+    """Keys of very different scales: no range may hold much more than its part, or one task would sort a source."""
+    written, plain = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, label: written.setdefault(label, plain(df, label)))
+    rows = [(i, "a", "x" * (i % 50), heavy if i % 3 else 1.0) for i in range(12_000)] + [(i, "b", "y" * 9, None) for i in range(12_000, 13_000)]
+    m = mixed(spark, rows, [("a", 0.4, 1), ("b", 0.02, 1)])
+    held = [r["count"] for r in written["mix-ranges"].filter("source = 'a'").groupBy("spot").count().collect()]
+    assert sum(held) == 12_000 and max(held) <= 0.04 * 12_000
+    assert m.report.filter("source = 'a'").collect()[0].taken == pytest.approx(0.4 * sum(len(t) for _, _, t, _ in rows), abs=50)
+
+
+def test_repeated_rows_are_spread_over_ranges(spark, monkeypatch):
+    written, plain = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, label: written.setdefault(label, plain(df, label)))
+    mixed(spark, [(7, "a", "x" * 10, 1.0)] * 4000, [("a", 0.5, 1)])
+    assert max(r["count"] for r in written["mix-ranges"].groupBy("spot").count().collect()) < 4 * 4000 / mixing.RANGES
+
+
+def test_the_fitting_total_meets_every_share(spark):
+    rows = [(i, "big", "x" * 10, 1.0) for i in range(3000)] + [(i, "small", "y" * 10, 1.0) for i in range(3000, 3100)] + [(i, None, "z" * 90, 1.0) for i in range(3100, 3300)]
+    m = mixed(spark, rows, [("big", 0.7, 1), ("small", 0.3, 4), ("absent", 0.0, 1)], total_tokens=mixing.FIT)
+    report = {r.source: r for r in m.report.collect()}
+    assert report["small"].taken == 4000 and report["small"].epochs == 4 and not report["small"].exhausted
+    assert abs(report["big"].actual_share - 0.7) < 0.002 and abs(report["small"].actual_share - 0.3) < 0.002
+    df = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], SCHEMA)
+    check = mixing.selection_check(m.selection, df, m.report, F.col("doc_id"), F.col("source"), F.col("text"))
+    assert {r.source: tuple(r)[1:] for r in check.collect()} == {s: (0, 0, 0, 0, 0, 0) for s in ("big", "small", "absent")}
+    wrong = m.selection.withColumn("times", F.lit(9)).withColumn("id", F.when(F.col("source") == "small", F.col("id") - 2000).otherwise(F.col("id")))
+    found = {r.source: r for r in mixing.selection_check(wrong, df, m.report, F.col("doc_id"), F.col("source"), F.col("text")).collect()}
+    assert found["small"].n_foreign == 100 and found["big"].n_above_cap == found["big"].n_uneven > 0
+
+
+def test_a_fitting_total_without_any_source_is_nothing(spark):
+    m = mixed(spark, [(1, None, "x", 1.0)], [("a", 1.0, 1)], total_tokens=mixing.FIT)
+    assert m.selection.count() == 0 and m.report.collect()[0].taken == 0
+
+
 def test_whole_epochs_come_before_the_fraction(spark):
     rows = [(i, "a", "x" * 10, 1.0) for i in range(100)] + [(i, None, "x" * 10, 1.0) for i in range(100, 500)]
     m = mixed(spark, rows, [("a", 0.5, 9)])  # 2500 of 1000: two epochs and a half
