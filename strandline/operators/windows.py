@@ -108,7 +108,7 @@ def _shapes(df: DataFrame) -> dict[str, V]:
     return {f.name: column_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if not f.name.startswith("__")}
 
 
-def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame], functions: dict[str, Callable] | None = None) -> DataFrame:
+def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame], functions: dict[str, Callable] | None = None, python_functions: dict[str, Callable] | None = None) -> DataFrame:
     """Feature rows: ``_identity``, ``_start_time`` of the anchor, and a column ``<aggregate>.<field>`` per window field.
 
     A block is an anchor if the condition is true for it and for the final state of its entity's identity aggregates, and
@@ -174,7 +174,7 @@ def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame],
             raise UnknownName(f"{base_name}.{field} has no value yet")
         return V(default_of(declared.type, spark_type(declared.type, None)), kind)
 
-    accepted = Compiler({}, attribute, functions).condition(spec.condition)
+    accepted = Compiler({}, attribute, functions, python_functions=python_functions).condition(spec.condition)
     ties = agg.kind == "block"
     keep, out, frames = [], [], _Frames()
     for a in spec.aggregates:
@@ -185,10 +185,10 @@ def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame],
         def within(base_name: str, field: str, near=near) -> V | None:
             return near.collected(field) if base_name == "source" and near is not None else attribute(base_name, field)
 
-        compiler = Compiler({}, within, functions, near.native if near is not None else None)
+        compiler = Compiler({}, within, functions, near.native if near is not None else None, python_functions)
         whole = compiler.condition(a.when)
         for f in a.fields:
-            v = compiler.compile(f.value)
+            v = compiler.value(f.value, f.type)
             c = coerce(v, f.type)
             cond = compiler.condition(f.when)
             for gate in (whole, cond):
@@ -199,7 +199,7 @@ def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame],
             done[a.name, f.name] = V(shown, shape.kind, v.elem, v.key)
             out.append(shown.alias(f"{a.name}.{f.name}"))
     df = frames.onto(df)
-    gate = Compiler({}, attribute, functions).condition(spec.when)
+    gate = Compiler({}, attribute, functions, python_functions=python_functions).condition(spec.when)
     for c in [accepted, *keep, *([gate] if gate is not None else [])]:
         df = df.filter(c)
     if spec.maximum is not None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from strandline.operators import blocks as B
 from strandline.plans import interpret
-from strandline.plans.expr import Compiler, UnknownName, Unsupported, V, coerce, column_value, none_value, to_str, truthy
+from strandline.plans.expr import Compiler, UnknownName, Unsupported, V, coerce, column_value, holds_variant, none_value, to_str, truthy
 from strandline.plans.spec import Aggregate, Field, StreamSpec, WindowSpec, stream_spec, window_spec
 
 _IMPORTED = {"parse", "parser", "datetime", "dateutil"}
@@ -104,8 +105,8 @@ def rule_of(agg: str, f: Field) -> tuple[Rule, ast.AST | None]:
 class _Events:
     """The keyed events, growing by the columns that rules need."""
 
-    def __init__(self, df: DataFrame, spec: StreamSpec, attributes: dict[str, V], functions: dict, state: dict[str, DataFrame] | None = None):
-        self.df, self.spec, self.attributes, self.functions, self.state = df, spec, attributes, functions, state or {}
+    def __init__(self, df: DataFrame, spec: StreamSpec, attributes: dict[str, V], functions: dict, state: dict[str, DataFrame] | None = None, python_functions: dict | None = None):
+        self.df, self.spec, self.attributes, self.functions, self.state, self.python_functions = df, spec, attributes, functions, state or {}, python_functions or {}
         self.made: dict[tuple, V] = {}
         self.busy: set[tuple] = set()
         self.rules: dict[tuple[str, str], tuple[str, list[V]]] = {}
@@ -149,7 +150,7 @@ class _Events:
         return self.made[key]
 
     def _dimension(self, agg: Aggregate, d: Field) -> str:
-        c = coerce(self.compiler(agg, None).compile(d.value), d.type)
+        c = coerce(self.compiler(agg, None).value(d.value, d.type), d.type)
         cond = self.compiler(agg, None).condition(d.when)
         return self.add("_d", c if cond is None else F.when(cond, c))
 
@@ -187,7 +188,7 @@ class _Events:
             return self.running(other, name, agg, place)
 
         names = {"time": V(F.col("_time"), "dt"), "identity": V(F.col("_id"), "str")}
-        return Compiler(names, attribute, self.functions)
+        return Compiler(names, attribute, self.functions, python_functions=self.python_functions)
 
     def running(self, other: Aggregate, name: str, agg: Aggregate, place: int | None) -> V:
         """The state of ``other.name`` as ``agg``'s field at ``place`` sees it: updated by this event already, or not yet."""
@@ -249,7 +250,8 @@ class _Events:
             cond = F.col(self.passes(agg))
             if when is not None:
                 cond = cond & compiler.condition(ast.unparse(when))
-            vs = [compiler.node(n) for n in rule.inputs]
+            plain = f.type if rule.kind in ("last", "sum", "max", "min") else "boolean" if rule.kind == "any" else None
+            vs = [compiler.node(n) if plain is None or f.type in ("list", "set", "map") else compiler.value(n, plain) for n in rule.inputs]
             made = []
             for i, v in enumerate(vs):
                 if rule.kind == "sum" and f.type == "integer" and v.kind == "float":
@@ -305,18 +307,18 @@ class Engine:
                 return None
             raise UnknownName(base)
 
-        first = Compiler({}, attribute, self.functions)
-        ident, time = first.compile(self.stream.identity), first.compile(self.stream.time)
+        first = Compiler({}, attribute, self.functions, python_functions=self.python_functions)
+        ident, time = first.value(self.stream.identity, "string"), first.value(self.stream.time, "datetime")
         id_col = F.when(truthy(ident), to_str(ident))
-        when = Compiler({"time": V(F.col("_time"), "dt"), "identity": V(F.col("_id"), "str")}, attribute, self.functions).condition(self.stream.when)
+        when = Compiler({"time": V(F.col("_time"), "dt"), "identity": V(F.col("_id"), "str")}, attribute, self.functions, python_functions=self.python_functions).condition(self.stream.when)
         keyed = raw.withColumn("_id", id_col).withColumn("_time", coerce(time, "datetime")).filter("_id is not null and _time is not null")
-        return _Events(keyed if when is None else keyed.filter(when), self.stream, attributes, self.functions, state)
+        return _Events(keyed if when is None else keyed.filter(when), self.stream, attributes, self.functions, state, self.python_functions)
 
     def rejects(self, df: DataFrame) -> dict[str, int]:
         """How many events have no identity and how many of the others no time, the two reasons to drop one unseen."""
         columns = {f.name: column_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema}
-        compiler = Compiler({}, lambda base, name: columns.get(name, none_value()) if base == "source" else None, self.functions)
-        who, when = truthy(compiler.compile(self.stream.identity)), coerce(compiler.compile(self.stream.time), "datetime")
+        compiler = Compiler({}, lambda base, name: columns.get(name, none_value()) if base == "source" else None, self.functions, python_functions=self.python_functions)
+        who, when = truthy(compiler.value(self.stream.identity, "string")), coerce(compiler.value(self.stream.time, "datetime"), "datetime")
         r = df.agg(F.count_if(~who).alias("identity"), F.count_if(who & when.isNull()).alias("time")).first()
         return r.asDict()
 
@@ -374,12 +376,16 @@ class Engine:
                 for name in attributes_of(x, base) if x else ():
                     context.setdefault(base, {})[name] = ev.running(self.stream.aggregate(base), name, agg, None)
         stateful = agg.when is not None and bool(attributes_of(agg.when, agg.name))
+        known = {"source", "time", "identity", *(a.name for a in self.stream.aggregates)}
+        for x in [*([agg.when] if stateful else []), *(y for f in agg.fields for y in (f.value, f.when) if y)]:
+            interpret.check(ast.parse(x, mode="eval").body, self.python_functions, known)
         bare = Aggregate(agg.name, agg.kind, agg.fields, agg.dimensions, None if stateful else agg.when, agg.store, agg.gap_s)
         keys = ev.keys(bare)
         passes = ev.passes(bare)
         sources = sorted(set().union(*(attributes_of(x, "source") for f in agg.fields for x in (f.value, f.when) if x), attributes_of(agg.when, "source") if stateful else set()) & set(ev.attributes))
         cols = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] + [F.col("_time").alias("time"), F.col("_seq").alias("seq")]
-        cols += [ev.attributes[a].col.alias(f"s{i}") for i, a in enumerate(sources)]
+        mixed = [i for i, a in enumerate(sources) if holds_variant(ev.attributes[a])]
+        cols += [(F.to_json(ev.attributes[a].col) if i in mixed else ev.attributes[a].col).alias(f"s{i}") for i, a in enumerate(sources)]
         flat = [(b, n) for b, ns in context.items() for n in ns]
         cols += [context[b][n].col.alias(f"c{i}") for i, (b, n) in enumerate(flat)]
         seeds = ev.seeds(agg)
@@ -400,7 +406,7 @@ class Engine:
             schema.add(f.name, probe[f.name])
         for d in agg.dimensions:
             schema.add(d.name, T.LongType() if d.type == "integer" else T.StringType())
-        return rows.mapInPandas(_fold(agg, key_names, sources, flat, kept, schema, stateful, self.python_functions), schema)
+        return rows.mapInPandas(_fold(agg, key_names, sources, flat, kept, schema, stateful, self.python_functions, mixed), schema)
 
     def _fold_type(self, ev: _Events, agg: Aggregate, f: Field) -> T.DataType:
         simple = {"integer": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "datetime": T.TimestampType()}
@@ -413,7 +419,14 @@ class Engine:
             elem, key = whole.elem or elem, whole.key or key
         except (Unsupported, UnknownName):
             pass
-        for n in ast.walk(ast.parse(f.value, mode="eval")):
+        for n in ast.walk(ast.parse(f.value, mode="eval").body):
+            if elem == "str" and f.type in ("list", "set") and isinstance(n, ast.expr):
+                try:
+                    inner = ev.compiler(agg, None).node(n)
+                except (Unsupported, UnknownName):
+                    inner = None
+                if inner is not None and inner.kind == "list":
+                    elem = inner.elem or elem
             if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.args:
                 try:
                     vs = [ev.compiler(agg, None).node(a) for a in n.args]
@@ -438,10 +451,10 @@ class Engine:
 
         if self.window is None:
             raise ValueError("no window spec")
-        return features(self.stream, self.window, made, self.functions)
+        return features(self.stream, self.window, made, self.functions, self.python_functions)
 
 
-def _fold(agg: Aggregate, keys: list[str], sources: list[str], flat: list[tuple[str, str]], kept: list[str], schema: T.StructType, stateful: bool, functions: dict):
+def _fold(agg: Aggregate, keys: list[str], sources: list[str], flat: list[tuple[str, str]], kept: list[str], schema: T.StructType, stateful: bool, functions: dict, mixed: list[int]):
     trees = [(f, ast.parse(f.value, mode="eval").body, ast.parse(f.when, mode="eval").body if f.when else None) for f in agg.fields]
     gate = ast.parse(agg.when, mode="eval").body if stateful else None
     timed = agg.kind in ("block", "activity")
@@ -457,10 +470,14 @@ def _fold(agg: Aggregate, keys: list[str], sources: list[str], flat: list[tuple[
             v = v.tolist()
         return dict(v) if isinstance(v, list) and v and all(isinstance(x, tuple) for x in v) else v
 
+    texts = {f.name for f in schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType)}
+
     def snapshot(key: tuple, state: interpret.State) -> dict:
         row = {"_identity": key[0], **{d.name: key[1 + i] for i, d in enumerate(agg.dimensions)}}
         for f in agg.fields:
             v = state[f.name]
+            if f.name in texts and v:
+                v = type(v)(x if x is None or isinstance(x, str) else str(x) for x in v)
             row[f.name] = sorted(v) if isinstance(v, set) else v
         if timed:
             row |= {"_start_time": state["_start_time"], "_end_time": state["_end_time"]}
@@ -473,6 +490,9 @@ def _fold(agg: Aggregate, keys: list[str], sources: list[str], flat: list[tuple[
             for r in b.astype(object).itertuples(index=False, name=None):
                 r = [plain(x) for x in r]
                 nk = len(keys)
+                for i in mixed:
+                    if r[nk + 2 + i] is not None:
+                        r[nk + 2 + i] = json.loads(r[nk + 2 + i])
                 key, time = tuple(r[:nk]), r[nk]
                 if key != held:
                     if state is not None:

@@ -19,7 +19,7 @@ from strandline.functions.instants import iso_instant
 
 
 class Unsupported(ValueError):
-    """The expression uses something that has no column form; the ordered fold takes it."""
+    """The expression uses something that has no column form, or, where nothing else takes it, that is not on the list at all."""
 
 
 class UnknownName(ValueError):
@@ -28,7 +28,7 @@ class UnknownName(ValueError):
 
 @dataclass(frozen=True)
 class V:
-    """``kind``: int float str bool dt date td list map none struct; ``elem``/``key`` for collections."""
+    """``kind``: int float str bool dt date td list map none struct variant; ``elem``/``key`` for collections."""
 
     col: Column
     kind: str
@@ -38,7 +38,7 @@ class V:
     fields: T.StructType | None = None
 
 
-NONE = "none"
+NONE, VARIANT = "none", "variant"
 _NUM = ("int", "float", "bool")
 
 
@@ -65,6 +65,8 @@ def kind_of(t: T.DataType) -> tuple[str, str | None, str | None]:
         return "struct", None, None
     if isinstance(t, T.NullType):
         return NONE, None, None
+    if isinstance(t, T.VariantType):
+        return VARIANT, None, None
     return "str", None, None
 
 
@@ -77,9 +79,16 @@ def column_value(col: Column, t: T.DataType) -> V:
         col = col.cast("double")
     elif isinstance(t, T.TimestampNTZType):
         col = F.from_utc_timestamp(col.cast("timestamp"), F.current_timezone())  # without a zone means UTC
+    elif kind == VARIANT:
+        col = F.when(~F.is_variant_null(col), col)
     return V(col, kind, elem, key, None, t if isinstance(t, T.StructType) else None)
 
 
+def holds_variant(v: V) -> bool:
+    """Whether a value, or one inside it, may be of several types; such values go to Python as JSON."""
+    return VARIANT in (v.kind, v.elem) or (v.fields is not None and "variant" in v.fields.simpleString())
+
+
 def _any(*errs: Column | None) -> Column | None:
     out = None
     for e in errs:
@@ -107,11 +116,23 @@ def _result(col: Column, kind: str, *inputs: V, elem: str | None = None, key: st
     return V(col, kind, elem, key, _any(col.isNull(), *(v.err for v in inputs)))
 
 
+def by_type(v: V, text: Callable[[V], Column], number: Callable[[V], Column], truth: Callable[[V], Column], other: Column) -> Column:
+    """A variant treated as the type that each of its values has."""
+    t = F.schema_of_variant(v.col)
+    get = lambda kind, spark: V(F.try_variant_get(v.col, "$", spark), kind)
+    return (
+        F.when(t == "STRING", text(get("str", "string"))).when(t == "BOOLEAN", truth(get("bool", "boolean"))).when(t.isin("BIGINT", "INT"), number(get("int", "bigint")))
+        .when((t == "DOUBLE") | t.startswith("DECIMAL"), number(get("float", "double"))).when(t.isNotNull(), other)
+    )
+
+
 def truthy(v: V) -> Column:
     """Python's truth of a value; never null. A failed value counts as false."""
     c = v.col
     if v.kind == NONE:
         return F.lit(False)
+    if v.kind == VARIANT:
+        return F.coalesce(by_type(v, truthy, truthy, truthy, ~F.to_json(c).isin("[]", "{}")), F.lit(False))
     if v.kind == "bool":
         t = c
     elif v.kind in ("int", "float"):
@@ -143,14 +164,25 @@ def java_pattern(fmt: str) -> tuple[str, bool]:
     return out, "%z" in fmt
 
 
+#: Further forms of dates, once commas and the day of the week are gone: with the month by name, slashed, or American.
+_DATES = "[[MMMM][MMM] d yyyy][d [MMMM][MMM] yyyy][yyyy/M/d][M/d/yyyy][yyyy [MMMM][MMM] d]"
+_TIMES = ("[ H:mm[:ss]]", " h:mm[:ss] a")
+
+
 def parse_time(v: V) -> V:
-    """ISO strings, and the ``yyyy/MM/dd HH:mm:ss`` that logs use; without an offset the time is UTC."""
+    """ISO strings, the ``yyyy/MM/dd HH:mm:ss`` that logs use, and dates with the month by name or American; without an offset UTC."""
     if v.kind == "dt":
         return v
     if v.kind != "str":
         raise Unsupported("parse of something that is no string")
-    slashed = F.try_to_timestamp(F.concat(F.trim(v.col), F.lit(" +0000")), F.lit("yyyy/MM/dd HH:mm:ss xx"))
-    return _result(F.coalesce(iso_instant(v.col), slashed), "dt", v)
+    plain = F.regexp_replace(F.regexp_replace(F.trim(v.col), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""), r",\s*|\s+", " ")
+    zoned = F.regexp_replace(plain, r"(?i)\s*(gmt|utc|z)$", " +0000")
+    offset = F.regexp_extract(zoned, r"\s([+-]\d{2}:?\d{2})$", 1)
+    bare = F.regexp_replace(F.trim(F.regexp_replace(zoned, r"\s[+-]\d{2}:?\d{2}$", "")), r"(?i)(\d)\s*([ap]m)$", "$1 $2")
+    text = F.concat(bare, F.lit(" "), F.when(offset == "", "+0000").otherwise(F.replace(offset, F.lit(":"), F.lit(""))))
+    looks = bare.rlike(r"^[\w ]+$|^\d+/\d+/\d+( .*)?$|^[\w ]+ \d+:\d+.*$")
+    other = F.coalesce(*(F.try_to_timestamp(text, F.lit(f"{_DATES}{t} xx")) for t in _TIMES))
+    return _result(F.coalesce(iso_instant(v.col), F.when(looks, other)), "dt", v)
 
 
 def _number(v: V) -> Column:
@@ -168,12 +200,16 @@ def to_int(v: V) -> Column:
         return F.when(~F.isnan(v.col), v.col.try_cast("long"))
     if v.kind in ("int", "bool"):
         return v.col.cast("long")
+    if v.kind == VARIANT:
+        return by_type(v, to_int, to_int, to_int, F.lit(None).cast("long"))
     return F.lit(None).cast("long")
 
 
 def to_float(v: V) -> Column:
     if v.kind == "str":
         return F.trim(v.col).try_cast("double")
+    if v.kind == VARIANT:
+        return by_type(v, to_float, to_float, to_float, F.lit(None).cast("double"))
     return v.col.cast("double") if v.kind in _NUM else F.lit(None).cast("double")
 
 
@@ -185,6 +221,8 @@ def to_str(v: V) -> Column:
         return F.concat(micro, F.lit("+00:00"))
     if v.kind in ("list", "map", "struct"):
         raise Unsupported("text of a collection")
+    if v.kind == VARIANT:
+        return by_type(v, to_str, to_str, to_str, F.to_json(v.col))
     return v.col.cast("string")
 
 
@@ -221,8 +259,8 @@ class Compiler:
     ``sum(source.f)`` by a native window aggregate.
     """
 
-    def __init__(self, names: dict[str, V], attribute: Callable[[str, str], V | None], functions: dict[str, Callable[..., V]] | None = None, lists: Callable[[str, str], V | None] | None = None):
-        self.names, self.attribute, self.functions, self.lists = names, attribute, functions or {}, lists
+    def __init__(self, names: dict[str, V], attribute: Callable[[str, str], V | None], functions: dict[str, Callable[..., V]] | None = None, lists: Callable[[str, str], V | None] | None = None, python_functions: dict[str, Callable] | None = None):
+        self.names, self.attribute, self.functions, self.lists, self.python_functions = names, attribute, functions or {}, lists, python_functions or {}
 
     def compile(self, text: str) -> V:
         try:
@@ -231,11 +269,65 @@ class Compiler:
             raise ValueError(f"not an expression: {text}") from e
         return self.node(tree.body)
 
+    def value(self, text: str | ast.AST, field_type: str) -> V:
+        """The expression as a column, or, where it has no such form, evaluated value by value for a field of that type."""
+        tree = ast.parse(text.strip(), mode="eval").body if isinstance(text, str) else text
+        try:
+            v = self.truth(tree) if field_type == "boolean" else self.node(tree)
+            coerce(v, field_type)
+            return v
+        except Unsupported as e:
+            return self.by_value(tree, field_type, e)
+
+    def by_value(self, tree: ast.AST, field_type: str, cause: Exception | None = None) -> V:
+        """The expression evaluated in Python over Arrow batches of the columns it names. What is not on the list is refused here."""
+        from strandline.plans import interpret
+
+        kind = {"integer": "int", "float": "float", "string": "str", "boolean": "bool", "datetime": "dt"}.get(field_type)
+        leaves = self.leaves(tree)
+        interpret.check(tree, self.python_functions, {path[0].partition(".")[0] for path in leaves})
+        if kind is None:
+            raise Unsupported(f"{ast.unparse(tree)} as {field_type}") from cause
+        columns, shapes = [], []
+        for i, v in enumerate(leaves.values()):
+            inner = holds_variant(v)
+            columns.append((F.to_json(v.col) if inner else v.col).alias(f"c{i}"))
+            shapes.append("json" if inner else v.kind)
+        run = interpret.batches(tree, list(leaves), shapes, field_type, self.python_functions)
+        return V(F.arrow_udf(run, SPARK_TYPES[field_type])(F.struct(*columns) if columns else F.struct(F.lit(0).alias("c"))), kind)
+
+    def leaves(self, tree: ast.AST) -> dict[tuple[str, ...], V]:
+        """The columns that an expression names, by (name,) or (base, field)."""
+        from strandline.plans import interpret
+
+        bound, out = interpret.bound_names(tree), {}
+
+        def visit(n: ast.AST) -> None:
+            at = self._dotted(n)
+            if at and at[0].partition(".")[0] not in bound and (v := self.attribute(*at)) is not None:
+                out[at] = v
+                return
+            if isinstance(n, ast.Name) and n.id in self.names and n.id not in bound:
+                out[(n.id,)] = self.names[n.id]
+            if isinstance(n, ast.Call) and ast.unparse(n.func) in (*interpret._FUNCTIONS, *self.python_functions):
+                for x in (*n.args, *n.keywords):
+                    visit(x)
+                return
+            if isinstance(n, ast.Attribute) and ast.unparse(n) in interpret._CONSTANTS:
+                return
+            if isinstance(n, ast.Name) and n.id not in self.names and n.id not in bound:
+                raise UnknownName(n.id)
+            for child in ast.iter_child_nodes(n):
+                visit(child)
+
+        visit(tree)
+        return out
+
     def condition(self, text: str | None) -> Column | None:
         """True, or false where the expression is falsy or fails. None without a condition."""
         if text is None:
             return None
-        v = self.compile(text)
+        v = self.value(text, "boolean")
         t = truthy(v)
         return t if v.err is None else t & ~F.coalesce(v.err, F.lit(True))
 
@@ -306,6 +398,7 @@ class Compiler:
     def _BinOp(self, n: ast.BinOp) -> V:
         a, b = self.node(n.left), self.node(n.right)
         op = type(n.op).__name__
+        self._typed(a, b)
         if NONE in (a.kind, b.kind):
             return replace(none_value(), err=F.lit(True))
         if op == "Add" and a.kind == b.kind == "str":
@@ -322,6 +415,8 @@ class Compiler:
             raise Unsupported(f"{op} of {a.kind} and {b.kind}")
         x, y = _number(a), _number(b)
         kind = "float" if "float" in (a.kind, b.kind) else "int"
+        if op == "Pow":
+            return self._power(a, b, n.right)
         if op == "Add":
             return _result(F.try_add(x, y), kind, a, b)
         if op == "Sub":
@@ -344,13 +439,27 @@ class Compiler:
             return _result(((x - rest) / safe).cast("long"), "int", a, b)
         return self._unsupported(op)
 
+    def _power(self, a: V, b: V, exponent: ast.AST) -> V:
+        """A fixed small exponent is multiplied out, so whole numbers stay exact."""
+        if not (isinstance(exponent, ast.Constant) and isinstance(exponent.value, int) and 0 <= exponent.value <= 8):
+            raise Unsupported("a power whose exponent is not a small number")
+        x = _number(a)
+        out = F.when(x.isNotNull(), F.lit(1.0) if a.kind == "float" else F.lit(1).cast("long"))
+        for _ in range(exponent.value):
+            out = F.try_multiply(out, x)
+        return _result(out, "float" if a.kind == "float" else "int", a, b)
+
+    def _typed(self, *vs: V) -> None:
+        if any(VARIANT in (v.kind, v.elem) for v in vs):
+            raise Unsupported("a value of several types")
+
     def _unsupported(self, what: str) -> V:
         raise Unsupported(what)
 
     def _UnaryOp(self, n: ast.UnaryOp) -> V:
-        v = self.node(n.operand)
         if isinstance(n.op, ast.Not):
-            return V(~truthy(v), "bool", err=v.err)
+            return self.truth(n)
+        v = self.node(n.operand)
         if isinstance(n.op, ast.USub) and v.kind in _NUM:
             return _result(-_number(v), "float" if v.kind == "float" else "int", v)
         if isinstance(n.op, ast.UAdd) and v.kind in _NUM:
@@ -359,6 +468,7 @@ class Compiler:
 
     def _common(self, *vs: V) -> tuple[list[Column], V]:
         """Columns of one type for a choice between the values, and a value of that kind."""
+        self._typed(*vs)
         kinds = {v.kind for v in vs} - {NONE}
         if not kinds:
             return [v.col for v in vs], none_value()
@@ -369,14 +479,22 @@ class Compiler:
             return [v.col.cast("double") for v in vs], V(vs[0].col, "float")
         raise Unsupported(f"a choice between {sorted(kinds)}")
 
+    def truth(self, n: ast.AST) -> V:
+        """A value of which only the truth matters, so that choices may mix kinds."""
+        if isinstance(n, ast.BoolOp):
+            vs = [self.truth(x) for x in n.values]
+            if len({v.kind for v in vs} - {NONE}) > 1:
+                vs = [V(truthy(v), "bool", err=v.err) for v in vs]
+            return self._chosen(isinstance(n.op, ast.Or), vs)
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+            v = self.truth(n.operand)
+            return V(~truthy(v), "bool", err=v.err)
+        return self.node(n)
+
     def _BoolOp(self, n: ast.BoolOp) -> V:
-        vs = [self.node(x) for x in n.values]
-        keep_if = isinstance(n.op, ast.Or)
-        if {v.kind for v in vs} - {NONE} != {"bool"}:
-            try:
-                self._common(*vs)
-            except Unsupported:
-                vs = [V(truthy(v), "bool", err=v.err) for v in vs]  # only its truth can matter where kinds differ
+        return self._chosen(isinstance(n.op, ast.Or), [self.node(x) for x in n.values])
+
+    def _chosen(self, keep_if: bool, vs: list[V]) -> V:
         out = vs[-1]
         for v in reversed(vs[:-1]):
             (x, y), shape = self._common(v, out)
@@ -386,7 +504,7 @@ class Compiler:
         return out
 
     def _IfExp(self, n: ast.IfExp) -> V:
-        test, a, b = self.node(n.test), self.node(n.body), self.node(n.orelse)
+        test, a, b = self.truth(n.test), self.node(n.body), self.node(n.orelse)
         (x, y), shape = self._common(a, b)
         t = truthy(test)
         branch = None if a.err is None and b.err is None else F.when(t, failed(a)).otherwise(failed(b))
@@ -405,6 +523,8 @@ class Compiler:
         return self.node(n)
 
     def _compared(self, op: str, a: V, b: V) -> V:
+        if not (op in ("Eq", "NotEq", "Is", "IsNot") and NONE in (a.kind, b.kind)):
+            self._typed(a, b)
         alike = a.kind == b.kind or {a.kind, b.kind} <= set(_NUM)
         if op in ("Eq", "NotEq", "Is", "IsNot"):
             if NONE in (a.kind, b.kind):
@@ -523,12 +643,13 @@ class Compiler:
                     return V(F.flatten(v.col), "list", None, err=_any(v.err, v.col.isNull()))
         if len(n.generators) == 1 and isinstance(n.generators[0].target, ast.Tuple):
             return self._zipped(n.elt, n.generators[0])
-        if len(n.generators) != 1 or not isinstance(n.generators[0].target, ast.Name):
+        if len(n.generators) != 1 or not isinstance(n.generators[0].target, ast.Name) or n.generators[0].is_async:
             raise Unsupported("comprehension")
         g = n.generators[0]
         v = self.node(g.iter)
         if v.kind != "list":
             raise Unsupported("comprehension over no list")
+        self._typed(v)
         name = g.target.id
         made: list[V] = []
 
@@ -547,6 +668,19 @@ class Compiler:
 
     _GeneratorExp = _ListComp
 
+    def _SetComp(self, n: ast.SetComp) -> V:
+        v = self._ListComp(ast.ListComp(n.elt, n.generators))
+        return replace(v, col=F.array_sort(F.array_distinct(v.col)))
+
+    def _DictComp(self, n: ast.DictComp) -> V:
+        """Of equal keys the last counts."""
+        k, v = (self._ListComp(ast.ListComp(x, n.generators)) for x in (n.key, n.value))
+        self._typed(k, v)
+        back = F.reverse(F.arrays_zip(k.col.alias("k"), v.col.alias("v")))
+        names = F.reverse(k.col)
+        last = F.filter(back, lambda e, i: F.array_position(names, e["k"]) == i + 1)
+        return V(F.map_from_entries(F.reverse(last)), "map", v.elem, k.elem, err=_any(k.err, v.err, F.exists(k.col, lambda x: x.isNull())))
+
     def _zipped(self, elt: ast.AST, g: ast.comprehension) -> V:
         """``[... for a, b in zip(x, y)]``, as long as the shorter list."""
         call, names = g.iter, [t.id for t in g.target.elts if isinstance(t, ast.Name)]
@@ -583,7 +717,9 @@ class Compiler:
             if whole in ("datetime.fromtimestamp", "datetime.datetime.fromtimestamp"):
                 v = self.node(n.args[0])
                 return _result(F.timestamp_micros(F.round(_number(v).cast("double") * 1_000_000).cast("long")), "dt", v)
-            return self._method(self.node(n.func.value), n.func.attr, [self.node(a) for a in n.args])
+            target = self.node(n.func.value)
+            self._typed(target)
+            return self._method(target, n.func.attr, [self.node(a) for a in n.args])
         raise Unsupported("call")
 
     def _strptime(self, text: ast.AST, fmt: ast.AST) -> V:
@@ -607,6 +743,11 @@ class Compiler:
         vs = [self.node(a) for a in args]
         if name == "bool" and len(vs) == 1:
             return V(truthy(vs[0]), "bool", err=vs[0].err)
+        if name == "round" and len(vs) == 2 and isinstance(args[1], ast.Constant) and isinstance(args[1].value, int):
+            return _result(F.bround(_number(vs[0]), F.lit(args[1].value)), "float" if vs[0].kind == "float" else "int", vs[0])
+        if name in ("any", "all") and len(vs) == 1 and vs[0].kind == "list" and vs[0].elem in (*_NUM, "str"):
+            test = (F.exists if name == "any" else F.forall)(vs[0].col, lambda x: truthy(V(x, vs[0].elem)))
+            return V(F.coalesce(test, F.lit(False)), "bool", err=_any(vs[0].err, vs[0].col.isNull()))
         if name in ("max", "min") and len(vs) > 1:
             if NONE in {v.kind for v in vs}:
                 return replace(none_value(), err=F.lit(True))
@@ -615,6 +756,8 @@ class Compiler:
         if len(vs) != 1:
             raise Unsupported(f"{name} of {len(vs)} values")
         v = vs[0]
+        if v.elem == VARIANT or (v.kind == VARIANT and name not in ("int", "float", "str")):
+            raise Unsupported(f"{name} of a value of several types")
         if v.kind == NONE and name not in ("str",):
             return V(F.lit(None).cast("long"), "int", err=F.lit(True))
         if name == "int":
@@ -687,7 +830,7 @@ class Compiler:
             return _result(simple[name](c), "str", v)
         if name in ("strip", "lstrip", "rstrip") and len(args) <= 1:
             if args:
-                raise Unsupported("strip of given characters")
+                return _result({"strip": F.btrim, "lstrip": F.ltrim, "rstrip": F.rtrim}[name](c, strings[0]), "str", v, *args)
             pattern = {"strip": r"^\s+|\s+$", "lstrip": r"^\s+", "rstrip": r"\s+$"}[name]
             return _result(F.regexp_replace(c, pattern, ""), "str", v)
         if name in ("startswith", "endswith") and len(args) == 1:
@@ -697,7 +840,7 @@ class Compiler:
         if name == "find" and len(args) == 1:
             return _result((F.instr(c, args[0].col) - 1).cast("long"), "int", v, *args)
         if name == "join" and len(args) == 1:
-            return _result(F.array_join(F.when(~F.exists(args[0].col, lambda x: x.isNull()), args[0].col), c), "str", v, *args) if args[0].elem == "str" else self._unsupported(name)
+            return _result(F.call_function("array_join", F.when(~F.exists(args[0].col, lambda x: x.isNull()), args[0].col), c), "str", v, *args) if args[0].elem == "str" else self._unsupported(name)
         if name == "isdigit" and not args:
             return _result(c.rlike(r"^\d+$"), "bool", v)
         raise Unsupported(f".{name} of str")

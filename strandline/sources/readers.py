@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,22 +15,64 @@ IPFIX_NAMES = {"4": "protocol", "12": "dest_ip", "56": "source_mac", "182": "sou
 Processor = Callable[[DataFrame], DataFrame]
 
 
-def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
+def _column_type(described: str) -> str:
+    """A type as values of mixed JSON describe themselves, as one of columns: no decimals, and text where only nulls were seen."""
+    out = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", described)
+    return out.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+
+
+def _ddl(t: T.DataType) -> str:
+    """A type as text, with names quoted."""
+    if isinstance(t, T.StructType):
+        return f"struct<{','.join(f'{_quoted(f.name)}:{_ddl(f.dataType)}' for f in t)}>"
+    if isinstance(t, T.ArrayType):
+        return f"array<{_ddl(t.elementType)}>"
+    return f"map<{_ddl(t.keyType)},{_ddl(t.valueType)}>" if isinstance(t, T.MapType) else t.simpleString()
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _attribute(name: str, t: T.DataType) -> Column:
+    """One attribute of ``_object`` as a type, null where it is missing or is not of it."""
+    if "'" not in name:
+        return F.try_variant_get("_object", f"$['{name}']", _ddl(t))
+    return F.try_variant_get(F.try_element_at(F.col("_object").try_cast("map<string,variant>"), F.lit(name)), "$", _ddl(t))
+
+
+def _objects(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_object``, the line's JSON object; null where the line is none."""
+    parsed = F.try_parse_json("value")
+    return lines.withColumn("_parsed", parsed).withColumn("_object", F.when(F.schema_of_variant("_parsed").startswith("OBJECT"), F.col("_parsed"))).drop("_parsed")
+
+
+def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, lines: DataFrame | None = None) -> DataFrame:
     """One JSON object per line from any number of paths or patterns, compressed or not, in the order of reading as ``_order``.
 
-    Lines that are no JSON object are dropped. Without a schema the types are inferred in a pass of their own.
+    Lines that are no JSON object are left out (``json_rejects`` counts them), among them objects that name a key twice. No
+    line is lost for the type of an attribute. With a schema a value that cannot be read as the declared type is null.
+    Without one the types are found in a pass of their own, and an attribute that holds several types stays a variant,
+    each value as it came. ``lines`` may give a table with the lines in ``value`` instead of paths.
     """
-    bad = "_corrupt_line"
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    raw = raw_lines(spark, paths) if lines is None else lines
+    held = _objects(raw.select("value").withColumn("_order", F.monotonically_increasing_id())).filter("_object is not null")
     if schema is None:
-        schema = spark.read.option("columnNameOfCorruptRecord", bad).json(paths).schema
+        found = held.agg(F.schema_of_variant_agg("_object")).first()[0]
+        inside = _column_type(found)[len("STRUCT<") : -1] if found and found.startswith("OBJECT") else ""
+        schema = T.StructType.fromDDL(inside) if inside else T.StructType()
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    plain = [f for f in schema if f.name != bad]
-    shape = T.StructType([*plain, T.StructField(bad, T.StringType())])
-    lines = spark.read.text(paths).filter(F.ltrim("value").startswith("{")).withColumn("_order", F.monotonically_increasing_id())
-    parsed = lines.select(F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"), "_order")
-    return parsed.filter(F.col(f"r.{bad}").isNull()).select(*(F.col(f"r.`{f.name}`") for f in plain), "_order")
+    columns = [_attribute(f.name, f.dataType).alias(f.name) for f in schema]
+    return held.select(*columns, "_order")
+
+
+def json_rejects(spark: SparkSession, paths: str | list[str], lines: DataFrame | None = None) -> dict[str, int]:
+    """How many lines there are, and how many of them are blank or no JSON object."""
+    raw = raw_lines(spark, paths) if lines is None else lines
+    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
+    r = _objects(raw.select("value")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~blank & F.col("_object").isNull()).alias("no_object")).first()
+    return r.asDict()
 
 
 def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
