@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 import zipfile
 from pathlib import Path
@@ -39,6 +40,19 @@ def discover(folder: Path) -> tuple[str | None, str | None]:
     return found.get("transform:streaming"), found.get("transform:window")
 
 
+def _own_processor(name: str):
+    """A processor of the user's own, ``package.module:function``, which takes a session and paths and returns a DataFrame."""
+    module, _, function = name.partition(":")
+    sys.path.insert(0, str(Path.cwd()))
+    try:
+        return getattr(importlib.import_module(module), function, None)
+    except ImportError as e:
+        print(e, file=sys.stderr)
+        return None
+    finally:
+        sys.path.pop(0)
+
+
 def transform(args: argparse.Namespace) -> int:
     from strandline import sinks
     from strandline.plans.engine import Engine
@@ -51,8 +65,11 @@ def transform(args: argparse.Namespace) -> int:
     if stream is None:
         print("No streaming spec was given or found in the current directory.", file=sys.stderr)
         return 1
-    if args.processor not in PROCESSORS:
-        print(f"Unknown data processor: '{args.processor}'. Possible values: {list(PROCESSORS)}", file=sys.stderr)
+    processor = PROCESSORS.get(args.processor)
+    if processor is None and ":" in args.processor:
+        processor = _own_processor(args.processor)
+    if processor is None:
+        print(f"Unknown data processor: '{args.processor}'. Possible values: {list(PROCESSORS)}, or package.module:function", file=sys.stderr)
         return 1
     if args.runner not in ("local", "spark"):
         print(f"Unknown runner: '{args.runner}'. Possible values: ['local', 'spark']", file=sys.stderr)
@@ -63,8 +80,8 @@ def transform(args: argparse.Namespace) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.getOrCreate()
-    engine = Engine(stream, window)
-    events = PROCESSORS[args.processor](spark, [p for x in args.source for p in x.split(",")])
+    engine = Engine(stream, window, once=True)
+    events = processor(spark, [p for x in args.source for p in x.split(",")])
     made = engine.blocks(events, "_order" if "_order" in events.columns else None)
     if window is None:
         for name, df in made.items():

@@ -52,6 +52,10 @@ def aggregate_of(rule: str, inputs: list, order: list[str]) -> Column | None:
         return F.sum(u)
     if rule == "last":
         return F.max_by(u, F.when(u.isNotNull(), by))
+    if rule == "first":  # of the events at the first instant the last one with a value; none if they have none
+        return F.max_by(u, F.struct((-F.unix_micros(order[0])).alias("t"), u.isNotNull().alias("has"), *order[1:]))
+    if rule == "since":
+        return F.max(u)
     if rule == "max":
         return F.max(u)
     if rule == "min":
@@ -106,6 +110,9 @@ def _shown(raw: DataFrame, timed: bool, rules: list, dims: dict[str, str], bare:
         cols += [F.col("st").alias("_start_time"), F.col("et").alias("_end_time")]
     for i, (f, rule, inputs) in enumerate(rules):
         shape = _shape(rule, inputs)
+        if rule == "since":
+            cols.append(F.coalesce(inputs[1](F.col(f"f{i}"), F.col("st")), default_of(f.type, spark_type(f.type, shape))).alias(f.name))
+            continue
         c = F.col(f"f{i}").cast(spark_type(f.type, shape)) if bare else finished(F.col(f"f{i}"), rule, f.type, shape)
         cols.append(c.alias(f.name))
     return raw.select(*cols, *(F.col(c).alias(n) for n, c in dims.items()))
@@ -123,6 +130,10 @@ def _merge(rule: str, c: Column, order: Column) -> Column:
         return {"sum": F.sum, "max": F.max, "min": F.min, "any": F.bool_or}[rule](c)
     if rule == "last":
         return F.max_by(c, F.when(c.isNotNull(), order))
+    if rule == "first":
+        return F.min_by(c, order)
+    if rule == "since":
+        return F.max(c)
     if rule in ("increment", "put"):
         lists = F.transform(_in_order(F.map_entries(c), order), F.map_from_entries)  # entries can be sorted along, maps cannot
     else:

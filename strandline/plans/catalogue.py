@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -459,8 +461,6 @@ def ipfix_explode(spark: SparkSession, folder: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], mode: str, what: str) -> DataFrame:
     """A stream over the events file run to its end; append mode writes files, complete mode keeps its last result in files."""
-    import uuid
-
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     source = spark.readStream.schema(events(spark, folder).schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(folder, "events"))
     made = make(source.filter(F.col("event_id").isNotNull()))
@@ -511,3 +511,243 @@ def sink_block_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     engine = Engine(stream(aggregate("Identity", "state", [counting("state")])))
     return sinks.block_lines(engine.blocks(events(spark, folder), "event_id")["state"], engine.stream.aggregate("state"))
+
+
+# Lines of JSON whose attribute ``won`` holds numbers, text and nothing, between lines that are no objects.
+_KEPT_LINE = "event_type NOT IN ('error', 'view')"
+_WON = "CASE event_type WHEN 'purchase' THEN CAST(value AS VARCHAR) WHEN 'signup' THEN '\"abc\"' ELSE 'null' END"
+
+
+def written_lines(spark: SparkSession, folder: str) -> str:
+    """The events as a folder of JSON lines, some of them broken."""
+    e, path = events(spark, folder), f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    won = F.when(F.col("event_type") == "purchase", F.col("value").cast("string")).when(F.col("event_type") == "signup", '"abc"').otherwise("null")
+    line = F.concat(F.lit('{"user": "u'), F.col("user_id"), F.lit('", "no": '), F.col("event_id"), F.lit(', "at": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('", "won": '), won, F.lit("}"))
+    broken = F.when(F.col("event_type") == "error", "{no object").when(F.col("event_type") == "view", "[1, 2]")
+    e.select(F.coalesce(broken, line).alias("value")).write.text(path)
+    return path
+
+
+@query(f"""SELECT 'u' || CAST(user_id AS VARCHAR) AS user, count(*) AS n, round(coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0), 4) AS total,
+count(*) FILTER (WHERE event_type = 'signup') AS words, count(*) FILTER (WHERE event_type = 'click') AS gone FROM events WHERE {_KEPT_LINE} GROUP BY user_id""")
+def json_mixed_types(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [("n", "integer", "s.n + 1"), ("total", "float", "s.total + source.won", "source.won is not None and source.won != 'abc'"), ("words", "integer", "s.words + 1", "source.won == 'abc'"), ("gone", "integer", "s.gone + 1", "source.won is None")]
+    spec = stream(aggregate("Identity", "s", fields), identity="source.user", time="parse(source.at)")
+    df = readers.json_lines(spark, written_lines(spark, folder))
+    return shown(Engine(spec, once=True).blocks(df, "_order")["s"], _identity="user")
+
+
+@query(f"SELECT 'u' || CAST(user_id AS VARCHAR) AS user, event_id AS no, CASE WHEN event_type = 'purchase' THEN value END AS won FROM events WHERE {_KEPT_LINE}")
+def json_declared_types(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.json_lines(spark, written_lines(spark, folder), "user string, no long, won double").drop("_order")
+
+
+@query("SELECT count(*) AS lines, CAST(0 AS BIGINT) AS blank, count(*) FILTER (WHERE event_type IN ('error', 'view')) AS no_object FROM events")
+def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    r = readers.json_rejects(spark, written_lines(spark, folder))
+    return spark.createDataFrame([tuple(r.values())], "lines long, blank long, no_object long")
+
+
+@query("SELECT r_name AS key, CAST(r_regionkey + 1 AS BIGINT) AS total FROM region")
+def records_source(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [r.asDict() for r in table(spark, folder, "region").collect()]
+    spec = stream(aggregate("Identity", "s", [("total", "integer", "s.total + source.r_regionkey + 1")]), identity="source.r_name", time="parse('2024-01-01')")
+    return shown(Engine(spec).blocks(readers.records(spark, rows, "r_name string, r_regionkey long"), "_order")["s"], _identity="key")
+
+
+@query("""SELECT event_id AS event, event_type || '-' || CAST(event_id AS VARCHAR) AS joined, event_id * event_id AS square, rpad(event_type, 10, '.') AS padded,
+lpad(CAST(event_id % 1000 AS VARCHAR), 5, '0') AS digits, list_contains(string_split(event_type, 'i'), 'v') AS has_v, CAST(len(list_distinct(string_split(event_type, ''))) AS BIGINT) AS letters FROM events""")
+def expr_format_power(spark: SparkSession, folder: str) -> DataFrame:
+    t = "source.event_type"
+    fields = [("joined", "string", f"'{{}}-{{}}'.format({t}, source.event_id)"), ("square", "integer", "source.event_id ** 2"), ("padded", "string", f"{t}.ljust(10, '.')"), ("digits", "string", "f'{source.event_id % 1000:05d}'"), ("has_v", "boolean", f"any(x == 'v' for x in {t}.split('i'))"), ("letters", "integer", f"len({{c for c in {t}}})")]
+    return scalars(spark, folder, fields)
+
+
+@query("""SELECT event_id AS event, date_trunc('second', ts) AS named, date_trunc('second', ts) AS mail, date_trunc('minute', ts) AS american, date_trunc('day', ts) AS day FROM events""")
+def expr_dateutil(spark: SparkSession, folder: str) -> DataFrame:
+    forms = {"named": "MMM d yyyy HH:mm:ss", "mail": "dd MMM yyyy HH:mm:ss 'GMT'", "american": "M/d/yyyy h:mm a", "day": "d MMMM yyyy"}
+    df = events(spark, folder)
+    df = df.withColumns({f"as_{k}": F.date_format("ts", v) for k, v in forms.items()}).withColumn("as_mail", F.concat(F.date_format("ts", "EEE"), F.lit(", "), F.col("as_mail")))
+    return scalars(spark, folder, [(k, "datetime", f"parse(source.as_{k})") for k in forms], df)
+
+
+@query("""SELECT event_id AS event, CAST(floor(sqrt(value)) AS BIGINT) AS root, round(ln(value + 1), 4) AS grown, CASE WHEN value >= 50 THEN 50 ELSE CAST(floor(value) AS BIGINT) END AS capped,
+regexp_replace(event_type, '[aeiou]', '', 'g') AS bare FROM events""")
+def spec_imports(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [("root", "integer", "math.floor(math.sqrt(source.value))"), ("grown", "float", "grow(source.value)"), ("capped", "integer", "capped(source.value)"), ("bare", "string", "sub('[aeiou]', '', source.event_type)")]
+    spec = per_event(fields) | {"Import": [{"Module": "math"}, {"Module": "math", "Identifiers": ["log1p as grow"]}, {"Module": "re", "Identifiers": ["sub"]}, {"Module": "our.own", "Identifiers": ["capped"]}]}
+    engine = Engine(spec, python_functions={"capped": lambda v: min(50, int(v))})
+    return shown(engine.blocks(events(spark, folder), "event_id")["x"]).drop("identity")
+
+
+@query("SELECT unnest(['x.ratio', 'x.whole', 'x.kept']) AS field, unnest([count(*) FILTER (WHERE event_type = 'error'), count(*) FILTER (WHERE event_type <> 'error' AND event_type <> 'view'), 0]) AS n FROM events")
+def expr_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that could not be computed, by field; an event that does not meet a field's condition does not count."""
+    fields = [("ratio", "float", "1 / (source.event_type != 'error')"), ("whole", "integer", "int(source.event_type)", "source.event_type != 'error' and source.event_type != 'view'"), ("kept", "integer", "x.kept + 1")]
+    failed = Engine(stream(aggregate("Identity", "x", fields))).failures(events(spark, folder), "event_id")
+    return spark.createDataFrame(list(failed.items()), "field string, n long")
+
+
+@query(f"""{_NEAR}, v AS (SELECT a.user_id, a.st, sum(b.n) AS e, max(b.n) AS most, string_agg(CAST(b.n AS VARCHAR), '/' ORDER BY b.st) AS text FROM ranked a JOIN ranked b ON b.user_id = a.user_id AND b.i BETWEEN a.i - 3 AND a.i - 1 GROUP BY a.user_id, a.st, a.i HAVING count(*) = 3)
+SELECT user_id, st AS start_time, round(e / 3, 2) AS last_mean, most > 2 AS last_some, text AS last_text FROM v""")
+def window_python(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [("mean", "float", "round(sum(source.events) / 3, 2)"), ("some", "boolean", "any(e > 2 for e in source.events)"), ("text", "string", "'{}/{}/{}'.format(source.events[0], source.events[1], source.events[2])")]
+    return near(spark, folder, windows(window("last", "count", -3, fields)))
+
+
+def _featured(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    spec = windows(window("week", "day", -7, [("events", "integer", "sum(source.events)")]), window("last", "count", -1, [("kind", "string", "source.last_type[0]")]))
+    engine = Engine(session_spec(GAP), spec)
+    made = engine.blocks(events(spark, folder), "event_id")
+    return engine.windowed(made), made
+
+
+_FEATURED = f"""{_NEAR}, f AS (SELECT a.user_id, a.st, min(l.last_type) AS kind, CAST(sum(b.n) AS BIGINT) AS e FROM ranked a JOIN ranked l ON l.user_id = a.user_id AND l.i = a.i - 1
+  JOIN ranked b ON b.user_id = a.user_id AND b.st < a.st AND b.st > a.st - INTERVAL 7 DAY GROUP BY a.user_id, a.st)"""
+
+
+@query(f"""{_FEATURED} SELECT user_id AS "last._identity", kind AS "last.kind", user_id AS "week._identity", CAST(e AS VARCHAR) AS "week.events" FROM f""")
+def sink_features_csv(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline import sinks
+
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    sinks.write_features(_featured(spark, folder)[0], path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query(f"""{_FEATURED}, r AS (SELECT user_id, string_agg('{{"last._identity":"' || user_id || '","last.kind":"' || kind || '","week._identity":"' || user_id || '","week.events":' || e || '}}', ', ' ORDER BY st) AS rows FROM f GROUP BY user_id)
+SELECT '["' || i.u || '", [' || coalesce(r.rows, '') || ']]' AS value FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events) i LEFT JOIN r ON r.user_id = i.u""")
+def sink_feature_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline import sinks
+
+    features, made = _featured(spark, folder)
+    return sinks.feature_lines(features, made["session"])
+
+
+def _iso_sql(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END || '+00:00'"
+
+
+@query(f"""WITH {sessions_sql(GAP)} SELECT '["' || user_id || '/session//' || {_iso_sql('st')} || '", {{"_identity":"' || user_id || '","_start_time":"' || {_iso_sql('st')} || '","_end_time":"' || {_iso_sql('et')} || '","events":' || n || '}}]' AS value FROM s""")
+def sink_block_lines_activity(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline import sinks
+
+    engine = Engine(stream(aggregate("Activity", "session", [counting("session")], SeparateByInactiveSeconds=GAP)))
+    return sinks.block_lines(engine.blocks(events(spark, folder), "event_id")["session"], engine.stream.aggregate("session"))
+
+
+@query("""SELECT '["' || user_id || '/daily/' || event_type || '/", {"_identity":"' || user_id || '","_start_time":"' || ISO_MIN || '","_end_time":"' || ISO_MAX || '","events":' || count(*) || ',"kind":"' || event_type || '"}]' AS value FROM events GROUP BY user_id, event_type""".replace("ISO_MIN", _iso_sql("min(ts)")).replace("ISO_MAX", _iso_sql("max(ts)")))
+def sink_block_lines_dims(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline import sinks
+
+    engine = Engine(stream(aggregate("Block", "daily", [counting("daily")], [("kind", "string", "source.event_type")])))
+    return sinks.block_lines(engine.blocks(events(spark, folder), "event_id")["daily"], engine.stream.aggregate("daily"))
+
+
+@query(ORACLE["state_two_batches"])
+def store_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs on one store, the second replacing what the first one saved."""
+    df, engine = events(spark, folder), Engine(two_batches())
+    early = F.col("ts") < F.lit(_CUT).cast("timestamp_ntz")
+    kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept.save(engine.blocks(df.filter(early), "event_id", kept.load(), variables=True))
+    kept.save(engine.blocks(df.filter(~early), "event_id", kept.load(), variables=True))
+    kept.finalize()
+    return shown(kept.load()["session"], _identity="user_id")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS kind, count(*) AS events FROM events WHERE user_id = 7 AND event_type = 'click' GROUP BY user_id, event_type")
+def store_point_get(spark: SparkSession, folder: str) -> DataFrame:
+    made = Engine(stream(aggregate("Identity", "state", [counting("state")], [("kind", "string", "source.event_type")]))).blocks(events(spark, folder), "event_id")["state"]
+    kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept.save({"state": made})
+    return shown(store.get(kept.load()["state"], "7", kind="click"), _identity="user_id")
+
+
+@query(f"WITH {sessions_sql(GAP)} SELECT user_id, st AS start_time, n AS events FROM s WHERE user_id = '7' AND st > TIMESTAMP '2024-01-05 00:00:00' AND st < TIMESTAMP '2024-01-20 00:00:00'")
+def store_between(spark: SparkSession, folder: str) -> DataFrame:
+    made = Engine(session_spec(GAP)).blocks(events(spark, folder), "event_id")["session"]
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00+00:00").cast("timestamp")
+    return shown(store.between(made, "7", at("05"), at("20")).select("_identity", "_start_time", "events"), _identity="user_id")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS partition_key, 'state/' || event_type || '/' AS range_key, count(*) AS events FROM events GROUP BY user_id, event_type")
+def store_items_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks put into a key-value table whose client here keeps its items in files of the shared folder."""
+    from strandline import sinks
+
+    engine = Engine(stream(aggregate("Identity", "state", [counting("state")], [("kind", "string", "source.event_type")])))
+    made, agg = engine.blocks(events(spark, folder), "event_id")["state"], engine.stream.aggregate("state")
+    path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    store.write_items(made, sinks.block_key(agg), lambda: FileClient(path))
+    items = spark.read.json(path).dropDuplicates(["partition_key", "range_key"])
+    return items.select("partition_key", "range_key", "events")
+
+
+class FileClient:
+    """A key-value client for tests: items as JSON lines in a folder."""
+
+    def __init__(self, path: str):
+        self.folder = Path(path.removeprefix("file://"))
+        self.folder.mkdir(parents=True, exist_ok=True)
+        self.name = uuid.uuid4().hex
+
+    def put_items(self, items: list[dict]) -> None:
+        with (self.folder / f"{self.name}.json").open("a", encoding="utf-8") as f:
+            f.writelines(json.dumps(x) + "\n" for x in items)
+
+
+_FAULTS = [
+    ("own.s", "Fields", "required"), ("own.s._x", "Name", "identifier"), ("own.s.y", "Type", "type"), ("own.s.z", "Value", "expression"), ("own", "Version", "value"), ("own.t", "SeparateByInactiveSeconds", "number"), ("own.s.w", "Value", "empty"),
+    ("own.kept", "Table", "required"), ("own.u", "Type", "type"), ("own.s.d", "Type", "value"), ("near.anchor", "Max", "number"), ("near.anchor", "Max", "empty"), ("near.w", "WindowValue", "empty"), ("near.w", "WindowType", "value"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in _FAULTS) + ") AS t(place, attribute, kind)")
+def spec_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """What validation finds in specs with one fault of each kind."""
+    from strandline.plans.validate import problems
+
+    fields = [("_x", "integer", "1"), ("y", "decimal", "1"), ("z", "integer", "1 +"), ("w", "integer", "")]
+    bad = stream(
+        aggregate("Identity", "s", fields, [("d", "float", "source.d")]), aggregate("Identity", "s", []) | {"Fields": [{"Name": "a", "Type": "integer", "Value": "1"}]}, aggregate("Activity", "t", [("n", "integer", "t.n + 1")], SeparateByInactiveSeconds="many"), aggregate("Window", "u", [("n", "integer", "1")], WindowType="day", WindowValue=1, Source="own.s"),
+    ) | {"Version": "2000-01-01", "Stores": [{"Type": "Own:Store:Dynamo", "Name": "kept"}]}
+    del bad["Aggregates"][1]["Fields"]
+    off = windows(window("w", "month", 0, [("n", "integer", "1")]), Max=0)
+    found = {(p.where, p.attribute, p.kind) for p in [*problems(bad), *problems(off)]}
+    return spark.createDataFrame(sorted(found), "place string, attribute string, kind string")
+
+
+@query(f"""WITH {sessions_sql(GAP)} SELECT user_id, st AS start_time, et AS end_time, n AS events, round(total, 4) AS total FROM s
+WHERE et + INTERVAL {GAP} SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_sessions_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Append mode behind a watermark of a day: the sessions that are closed for good when the input ends."""
+    out = _streamed(spark, folder, lambda df: runs.sessions(df, F.col("user_id"), F.col("ts"), GAP, F.col("value"), "1 day"), "append", "closed-sessions")
+    return shown(out.select(F.col("identity").alias("user_id"), F.col("start").alias("start_time"), F.col("end").alias("end_time"), F.col("n").alias("events"), "total"))
+
+
+@query(ORACLE["state_two_batches"])
+def stream_carried_spec(spark: SparkSession, folder: str) -> DataFrame:
+    """A spec over two micro-batches, each onto the state that the one before left in its buckets."""
+    df, engine, at = events(spark, folder), Engine(two_batches()), f"{shared_dir(spark)}/carried-{uuid.uuid4().hex}"
+    early = F.col("ts") < F.lit(_CUT).cast("timestamp_ntz")
+    step = runs.carried_spec(engine, at, "event_id")
+    step(df.filter(early), 0)
+    step(df.filter(~early), 1)
+    return shown(runs.blocks_at(spark, engine, at, 1)["session"].drop("_bucket"), _identity="user_id")
+
+
+@query(f"SELECT {U}, count(*) AS events, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
+def stream_online(spark: SparkSession, folder: str) -> DataFrame:
+    """Events one by one on a stream, a state per entity."""
+    from strandline.streaming import stateful
+
+    engine = Engine(stream(aggregate("Identity", "state", [counting("state"), ("last_type", "string", "source.event_type")])))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stateful.PROVIDER)
+    try:
+        out = _streamed(spark, folder, lambda df: stateful.evaluate(df.select("event_id", "user_id", "ts", "event_type"), engine, "event_id"), "update", "online")
+    finally:
+        spark.conf.set(key, before)
+    return out.select(F.col("identity").alias("user_id"), F.from_json("snapshot", "events long, last_type string").alias("s")).select("user_id", "s.events", "s.last_type")

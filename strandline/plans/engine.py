@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.operators import blocks as B
-from strandline.plans import interpret
+from strandline.plans import imports, interpret
 from strandline.plans.expr import Compiler, UnknownName, Unsupported, V, coerce, column_value, holds_variant, none_value, to_str, truthy
 from strandline.plans.spec import Aggregate, Field, StreamSpec, WindowSpec, stream_spec, window_spec
+from strandline.session import materialize
 
 _IMPORTED = {"parse", "parser", "datetime", "dateutil"}
 
@@ -76,7 +77,17 @@ def rule_of(agg: str, f: Field) -> tuple[Rule, ast.AST | None]:
             return Rule("max", (value,)), None
     if _mentions(when, agg, f.name):
         raise Unsupported(f"{f.name} depends on itself")
+    if isinstance(when, ast.Compare) and len(when.ops) == 1 and isinstance(when.ops[0], ast.Eq) and free(value):
+        sides = (when.left, when.comparators[0])
+        if any(isinstance(x, ast.Name) and x.id == "time" for x in sides):
+            if any(_names_field(x, agg, "_start_time") for x in sides):
+                return Rule("first", (value,)), None  # the last among the events of the block's first instant
+            if any(_names_field(x, agg, "_end_time") for x in sides):
+                return Rule("last", (value,)), None  # events come in order of time, so every one is at the end so far
     if free(value):
+        names = {n.id for n in ast.walk(value) if isinstance(n, ast.Name)}
+        if names == {"time", agg} and f.type in ("integer", "float") and attributes_of(ast.unparse(value), agg) == {"_start_time"}:
+            return Rule("since", (value,)), when
         return Rule("last", (value,)), when
     if isinstance(value, ast.BinOp) and isinstance(value.op, ast.Add):
         for mine, other in ((value.left, value.right), (value.right, value.left)):
@@ -245,24 +256,31 @@ class _Events:
         key = (agg.name, f.name)
         if key not in self.rules:
             rule, when = rule_of(agg.name, f)
+            timed = agg.kind in ("block", "activity")
+            if rule.kind in ("first", "since") and (not timed or self.state.get(agg.name) is not None):
+                when = ast.parse(f.when, mode="eval").body if f.when else None
+                rule = Rule("last", rule.inputs)
             place = list(agg.fields).index(f)
             compiler = self.compiler(agg, place)
             cond = F.col(self.passes(agg))
             if when is not None:
                 cond = cond & compiler.condition(ast.unparse(when))
-            plain = f.type if rule.kind in ("last", "sum", "max", "min") else "boolean" if rule.kind == "any" else None
+            if rule.kind == "since":
+                self.rules[key] = ("since", self._since(agg, f, rule.inputs[0], cond))
+                return self.rules[key]
+            plain = f.type if rule.kind in ("last", "first", "sum", "max", "min") else "boolean" if rule.kind == "any" else None
             vs = [compiler.node(n) if plain is None or f.type in ("list", "set", "map") else compiler.value(n, plain) for n in rule.inputs]
             made = []
             for i, v in enumerate(vs):
                 if rule.kind == "sum" and f.type == "integer" and v.kind == "float":
                     raise Unsupported("an integer field cut off at every step")
-                if rule.kind in ("last", "sum", "max", "min"):
+                if rule.kind in ("last", "first", "sum", "max", "min"):
                     c, shape = coerce(v, f.type), v
                 elif rule.kind == "any":
                     c, shape = F.when(~v.err, truthy(v)) if v.err is not None else truthy(v), V(v.col, "bool")
                 else:
                     c, shape = v.col if v.err is None else F.when(~v.err, v.col), v
-                spark = {"integer": "int", "float": "float", "string": "str", "boolean": "bool", "datetime": "dt"}.get(f.type, shape.kind) if rule.kind == "last" else shape.kind
+                spark = {"integer": "int", "float": "float", "string": "str", "boolean": "bool", "datetime": "dt"}.get(f.type, shape.kind) if rule.kind in ("last", "first") else shape.kind
                 if rule.kind in ("sum", "max", "min"):
                     spark = "int" if f.type == "integer" else "float"
                 made.append(V(F.col(self.add("_u", F.when(cond, c))), spark, shape.elem, shape.key))
@@ -274,17 +292,38 @@ class _Events:
         return self.rules[key]
 
 
+    def _since(self, agg: Aggregate, f: Field, value: ast.AST, cond: Column) -> list:
+        """A value out of an event's time and its block's start alone: the last such event's time, and what to make of the two.
+
+        Events come in order of time, so the start that each of them sees is the block's.
+        """
+
+        def finish(last: Column, start: Column) -> Column:
+            seen = lambda base, name: V(start, "dt") if (base, name) == (agg.name, "_start_time") else None
+            made = coerce(Compiler({"time": V(last, "dt")}, seen, self.functions).node(value), f.type)
+            return F.when(last.isNotNull(), made)
+
+        finish(F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp"))  # Unsupported comes up here
+        return [V(F.col(self.add("_u", F.when(cond, F.col("_time")))), {"integer": "int"}.get(f.type, "float")), finish]
+
+
 class Engine:
     """Runs a streaming spec, and a window spec over its blocks, on DataFrames.
 
-    ``functions`` maps imported names to column builders (compiled values in, value out); ``python_functions`` gives
-    their plain form for rules that are folded.
+    What the specs import is looked up in a list of allowed functions. ``functions`` maps further names to column builders
+    (compiled values in, value out), ``python_functions`` to plain functions that are called value by value.
+
+    Every aggregate reads the events for itself. For columnar files that is the cheapest way: each reads its own columns.
+    ``once`` has the keyed events, narrowed to the attributes that the spec names, written to the shared folder first, so
+    that input which is dear to parse (JSON, say) is read and parsed a single time however many aggregates there are.
     """
 
-    def __init__(self, stream: StreamSpec | dict | str, window: WindowSpec | dict | str | None = None, functions: dict | None = None, python_functions: dict | None = None):
+    def __init__(self, stream: StreamSpec | dict | str, window: WindowSpec | dict | str | None = None, functions: dict | None = None, python_functions: dict | None = None, once: bool = False):
         self.stream = stream if isinstance(stream, StreamSpec) else stream_spec(stream)
         self.window = window if window is None or isinstance(window, WindowSpec) else window_spec(window)
-        self.functions, self.python_functions = functions or {}, python_functions or {}
+        given = {**(functions or {}), **(python_functions or {})}
+        plain, native = imports.resolve([*self.stream.imports, *(self.window.imports if self.window else ())], given)
+        self.functions, self.python_functions, self.once = {**native, **(functions or {})}, {**plain, **(python_functions or {})}, once
         self.tiers: dict[str, str] = {}
 
     def keyed(self, df: DataFrame, seq: str | None = None, state: dict[str, DataFrame] | None = None) -> _Events:
@@ -312,7 +351,38 @@ class Engine:
         id_col = F.when(truthy(ident), to_str(ident))
         when = Compiler({"time": V(F.col("_time"), "dt"), "identity": V(F.col("_id"), "str")}, attribute, self.functions, python_functions=self.python_functions).condition(self.stream.when)
         keyed = raw.withColumn("_id", id_col).withColumn("_time", coerce(time, "datetime")).filter("_id is not null and _time is not null")
-        return _Events(keyed if when is None else keyed.filter(when), self.stream, attributes, self.functions, state, self.python_functions)
+        keyed = keyed if when is None else keyed.filter(when)
+        return _Events(self._written(df, seq, keyed) if self.once else keyed, self.stream, attributes, self.functions, state, self.python_functions)
+
+    def _written(self, df: DataFrame, seq: str | None, keyed: DataFrame) -> DataFrame:
+        """The keyed events from the shared folder, written when they are first asked for."""
+        if getattr(self, "_kept", (None, None, None))[:2] != (id(df), seq):
+            self._kept = (id(df), seq, materialize(keyed, "keyed-events"), df)  # df is held, so that its id stays its own
+        return self._kept[2]
+
+    def failures(self, df: DataFrame, seq: str | None = None) -> dict[str, int]:
+        """How often the value of each field could not be computed, or did not fit, for events that take part and meet its condition.
+
+        Such an event leaves the field as it was, which no output shows. In one pass; fields whose rules feed on
+        themselves in a way that only an ordered fold follows are left out.
+        """
+        ev, counts = self.keyed(df, seq), {}
+        for agg in self.stream.aggregates:
+            for f in agg.fields:
+                try:
+                    rule, when = rule_of(agg.name, f)
+                    compiler = ev.compiler(agg, list(agg.fields).index(f))
+                    missing = F.lit(False)
+                    for n in rule.inputs:
+                        if rule.kind != "since":
+                            v = compiler.value(n, f.type) if f.type not in ("list", "set", "map") else compiler.node(n)
+                            missing = missing | (v.col.isNull() if v.err is None else F.coalesce(v.err, F.lit(True)) | v.col.isNull())
+                    cond = F.col(ev.passes(agg)) if when is None else F.col(ev.passes(agg)) & compiler.condition(ast.unparse(when))
+                    counts[f"{agg.name}.{f.name}"] = ev.add("_f", (cond & missing).cast("long"))
+                except Unsupported:
+                    continue
+        r = ev.df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.values())).first() if counts else {}
+        return {name: r[c] for name, c in counts.items()}
 
     def rejects(self, df: DataFrame) -> dict[str, int]:
         """How many events have no identity and how many of the others no time, the two reasons to drop one unseen."""
@@ -340,7 +410,7 @@ class Engine:
                 old = state[agg.name].join(new.select(*same), same, "left_anti")
                 new = new.unionByName(old.select(*(F.col(c).cast(t).alias(c) for c, t in new.dtypes)))
             elif carried:
-                kinds = {f.name: rule_of(agg.name, f)[0].kind for f in agg.fields}
+                kinds = {f.name: {"first": "last", "since": "last"}.get(k := rule_of(agg.name, f)[0].kind, k) for f in agg.fields}
                 new = B.carried_on(state[agg.name], new, agg, kinds)
             out[agg.name] = new
         return out

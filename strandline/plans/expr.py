@@ -175,14 +175,19 @@ def parse_time(v: V) -> V:
         return v
     if v.kind != "str":
         raise Unsupported("parse of something that is no string")
-    plain = F.regexp_replace(F.regexp_replace(F.trim(v.col), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""), r",\s*|\s+", " ")
+    # Bound to a variable of its own, the rarer forms keep out of the generated code of the usual ones.
+    other = F.get(F.transform(F.array(F.trim(v.col)), _named_date), F.lit(0))
+    return _result(F.coalesce(iso_instant(v.col), other), "dt", v)
+
+
+def _named_date(text: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""), r",\s*|\s+", " ")
     zoned = F.regexp_replace(plain, r"(?i)\s*(gmt|utc|z)$", " +0000")
     offset = F.regexp_extract(zoned, r"\s([+-]\d{2}:?\d{2})$", 1)
     bare = F.regexp_replace(F.trim(F.regexp_replace(zoned, r"\s[+-]\d{2}:?\d{2}$", "")), r"(?i)(\d)\s*([ap]m)$", "$1 $2")
-    text = F.concat(bare, F.lit(" "), F.when(offset == "", "+0000").otherwise(F.replace(offset, F.lit(":"), F.lit(""))))
+    whole = F.concat(bare, F.lit(" "), F.when(offset == "", "+0000").otherwise(F.replace(offset, F.lit(":"), F.lit(""))))
     looks = bare.rlike(r"^[\w ]+$|^\d+/\d+/\d+( .*)?$|^[\w ]+ \d+:\d+.*$")
-    other = F.coalesce(*(F.try_to_timestamp(text, F.lit(f"{_DATES}{t} xx")) for t in _TIMES))
-    return _result(F.coalesce(iso_instant(v.col), F.when(looks, other)), "dt", v)
+    return F.when(looks, F.coalesce(*(F.try_to_timestamp(whole, F.lit(f"{_DATES}{t} xx")) for t in _TIMES)))
 
 
 def _number(v: V) -> Column:
@@ -710,6 +715,8 @@ class Compiler:
             whole = ast.unparse(n.func)
             if whole in self.functions:
                 return self.functions[whole](*map(self.node, n.args))
+            if whole in self.python_functions:
+                raise Unsupported(f"{whole} has no column form")
             if whole in ("parser.parse", "dateutil.parser.parse"):
                 return parse_time(self.node(n.args[0]))
             if whole in ("datetime.strptime", "datetime.datetime.strptime"):
@@ -735,6 +742,8 @@ class Compiler:
     def _function(self, name: str, args: list[ast.AST]) -> V:
         if name in self.functions:
             return self.functions[name](*map(self.node, args))
+        if name in self.python_functions:
+            raise Unsupported(f"{name} has no column form")
         if self.lists and name in ("sum", "len", "max", "min") and len(args) == 1 and (d := self._dotted(args[0])):
             if (v := self.lists(name, ".".join(d))) is not None:
                 return v

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions.instants import day_string, iso_instant, joined_dims, micros, nonblank
 from strandline.operators import features, late, rolling, sessions, skew
-from strandline.session import materialize
+from strandline.session import materialize, shared_dir
+from strandline.streaming import runs
 from strandline.tables import table
 
 GAP_S = 1800
+_SECOND_BATCH = "2018-04-05 00:00:00+00:00"
 
 
 def log_instant() -> Column:
@@ -135,6 +138,17 @@ def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("day_utc", day_string(F.col("period").cast("int"))).drop("period")
 
 
+def p5_two_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The corrected entries where the log comes in two batches by arrival, the second onto the first one's state."""
+    log, at = table(spark, folder, "key_log"), f"{shared_dir(spark)}/late-batches-{uuid.uuid4().hex}"
+    columns = {"uid": F.col("event_uid"), "tie": F.col("log_id"), "arrived_us": micros("arrived_at"), "instant_us": log_instant(), "value": F.col("event_value")}
+    step, early = runs.carried_multisets(at, columns), F.coalesce(F.col("arrived_at") < F.lit(_SECOND_BATCH).cast("timestamp"), F.lit(False))
+    step(log.filter(early), 0)
+    step(log.filter(~early), 1)
+    out = late.changed_entries(runs.multisets_at(spark, at, 1)).filter("n_final > n_at_close")
+    return out.select(day_string(F.col("period").cast("int")).alias("day_utc"), "value", "n_at_close", "n_final")
+
+
 def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
     out = late.period_aggregates(late.multisets(_judged(spark, folder)))
     rounded = {c: F.round(c, 4) for c in out.columns if c.startswith(("total_", "median_"))}
@@ -142,7 +156,7 @@ def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_cells, p2_feature_table, p3_found, p3_per_key, p4_found, p4_rolling, p4_anchors, p5_found, p5_entries, p5_periods)
+    f.__name__: f for f in (p1_found, p1_sessions, p2_found, p2_cells, p2_feature_table, p3_found, p3_per_key, p4_found, p4_rolling, p4_anchors, p5_found, p5_entries, p5_two_batches, p5_periods)
 }
 
 
@@ -270,6 +284,9 @@ FROM ranked JOIN rolled USING (key_identity, day) WHERE anchor_max IS NULL OR ra
 SELECT {_DAY}, value, count(*) FILTER (WHERE verdict = 'on_time') AS n_at_close, count(*) FILTER (WHERE verdict <> 'dropped') AS n_final,
   count(*) FILTER (WHERE verdict = 'dropped') AS n_dropped
 FROM judged GROUP BY day, value HAVING count(*) FILTER (WHERE verdict <> 'on_time') > 0""",
+    "p5_two_batches": f"""WITH {_JUDGED}
+SELECT {_DAY}, value, count(*) FILTER (WHERE verdict = 'on_time') AS n_at_close, count(*) FILTER (WHERE verdict <> 'dropped') AS n_final
+FROM judged GROUP BY day, value HAVING count(*) FILTER (WHERE verdict = 'corrected') > 0""",
     "p5_periods": f"""WITH {_JUDGED}
 SELECT {_phase('close', "verdict = 'on_time'")}, {_phase('final', "verdict <> 'dropped'")},
   count(*) FILTER (WHERE verdict = 'corrected') AS n_corrected, count(*) FILTER (WHERE verdict = 'dropped') AS n_dropped, {_DAY}
