@@ -376,7 +376,8 @@ class Engine:
                     for n in rule.inputs:
                         if rule.kind != "since":
                             v = compiler.value(n, f.type) if f.type not in ("list", "set", "map") else compiler.node(n)
-                            missing = missing | (v.col.isNull() if v.err is None else F.coalesce(v.err, F.lit(True)) | v.col.isNull())
+                            fitted = v.col if rule.kind in ("any", "append", "extend", "add", "increment", "put") else coerce(v, f.type)
+                            missing = missing | fitted.isNull() | (F.lit(False) if v.err is None else F.coalesce(v.err, F.lit(True)))
                     cond = F.col(ev.passes(agg)) if when is None else F.col(ev.passes(agg)) & compiler.condition(ast.unparse(when))
                     counts[f"{agg.name}.{f.name}"] = ev.add("_f", (cond & missing).cast("long"))
                 except Unsupported:

@@ -17,53 +17,56 @@ def at(text):
     return dt.datetime.fromisoformat(text).replace(tzinfo=None)
 
 
-MINI = stream(
-    aggregate("Variable", "vars", [("continent", "string", "'North America' if source.country == 'US' else 'World'", "bool(source.country)")]),
-    aggregate("Identity", "state", [("country", "string", "source.country"), ("continent", "string", "vars.continent", "bool(vars.continent)")]),
-    aggregate("Activity", "session", [("events", "integer", "session.events + 1"), ("country", "string", "source['country']"), ("continent", "string", "vars['continent']", "bool(vars.continent)")], SeparateByInactiveSeconds=1800),
-    identity="source.user_id", time="parse(source.event_time)",
+BEDS = stream(
+    aggregate("Variable", "vars", [("zone", "string", "'wet' if source.crop == 'rice' else 'dry'", "bool(source.crop)")]),
+    aggregate("Identity", "plot", [("crop", "string", "source.crop"), ("zone", "string", "vars.zone", "bool(vars.zone)")]),
+    aggregate("Activity", "visit", [("readings", "integer", "visit.readings + 1"), ("crop", "string", "source['crop']"), ("zone", "string", "vars['zone']", "bool(vars.zone)")], SeparateByInactiveSeconds=900),
+    identity="source.bed", time="parse(source.read_at)",
 )
-MINI_WINDOW = windows(
-    window("last_session", "count", -1, [("events", "integer", "source.events[0]")]),
-    window("last_day", "day", -1, [("total_events", "integer", "last_day.total_events + sum(source.events)")]),
-    condition="own.session.events > 0 and own.state.country != ''", Max=1,
+BEDS_WINDOW = windows(
+    window("before", "count", -1, [("readings", "integer", "source.readings[0]")], source="own.visit"),
+    window("hours", "hour", -2, [("total", "integer", "hours.total + sum(source.readings)")], source="own.visit"),
+    condition="own.visit.readings > 0 and own.plot.crop != ''", Max=1,
 )
-D = "2018-03-07T"
-FIRST = [("userA", f"{D}22:35:31+00:00", "US"), ("userA", f"{D}23:35:31+00:00", "IN"), ("userA", f"{D}23:35:32+00:00", None), ("userB", f"{D}22:35:31+00:00", None), ("userB", f"{D}23:35:31+00:00", None), ("userC", f"{D}22:35:31+00:00", None)]
-SECOND = [("userA", f"{D}23:36:32+00:00", None), ("userC", f"{D}23:35:31+00:00", None)]
+D = "2021-05-03T"
+FIRST = [
+    ("bed-1", f"{D}06:00:00+02:00", "rice"), ("bed-1", f"{D}05:00:00+00:00", "kale"), ("bed-1", f"{D}05:10:00+00:00", None), ("bed-2", f"{D}04:30:00+00:00", None), ("bed-2", f"{D}04:45:01+00:00", None), ("bed-3", f"{D}08:00:00+00:00", None),
+    ("bed-1", f"{D}05:25:00+00:00", None),
+]
+SECOND = [("bed-1", f"{D}05:30:00+00:00", None), ("bed-3", f"{D}08:20:00+00:00", "flax")]
 
 
-def mini(spark, rows):
-    return spark.createDataFrame([(*r, i, 1, "x") for i, r in enumerate(rows)], "user_id string, event_time string, country string, seq long, _id int, s0 string")
+def beds(spark, rows):
+    return spark.createDataFrame([(*r, i, 1, "x") for i, r in enumerate(rows)], "bed string, read_at string, crop string, seq long, _id int, s0 string")
 
 
 def plain(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_mini_sessions(spark):
-    made = Engine(MINI).blocks(mini(spark, FIRST), "seq")
-    assert plain(made["state"]) == [("userA", "IN", "World"), ("userB", "", ""), ("userC", "", "")]
-    assert plain(made["session"]) == [
-        ("userA", at(f"{D}22:35:31"), at(f"{D}22:35:31"), 1, "US", "North America"), ("userA", at(f"{D}23:35:31"), at(f"{D}23:35:32"), 2, "IN", "World"),
-        ("userB", at(f"{D}22:35:31"), at(f"{D}22:35:31"), 1, "", ""), ("userB", at(f"{D}23:35:31"), at(f"{D}23:35:31"), 1, "", ""), ("userC", at(f"{D}22:35:31"), at(f"{D}22:35:31"), 1, "", ""),
+def test_visits_of_beds(spark):
+    made = Engine(BEDS).blocks(beds(spark, FIRST), "seq")
+    assert plain(made["plot"]) == [("bed-1", "kale", "dry"), ("bed-2", "", ""), ("bed-3", "", "")]
+    assert plain(made["visit"]) == [
+        ("bed-1", at(f"{D}04:00:00"), at(f"{D}04:00:00"), 1, "rice", "wet"), ("bed-1", at(f"{D}05:00:00"), at(f"{D}05:25:00"), 3, "kale", "dry"),
+        ("bed-2", at(f"{D}04:30:00"), at(f"{D}04:30:00"), 1, "", ""), ("bed-2", at(f"{D}04:45:01"), at(f"{D}04:45:01"), 1, "", ""), ("bed-3", at(f"{D}08:00:00"), at(f"{D}08:00:00"), 1, "", ""),
     ]
 
 
-def test_mini_features(spark):
-    got = Engine(MINI, MINI_WINDOW).features(mini(spark, FIRST), "seq").collect()
-    assert [r.asDict() for r in got] == [{"_identity": "userA", "_start_time": at(f"{D}23:35:31"), "last_session.events": 1, "last_day.total_events": 1}]
+def test_features_of_beds(spark):
+    got = Engine(BEDS, BEDS_WINDOW).features(beds(spark, FIRST), "seq").collect()
+    assert [r.asDict() for r in got] == [{"_identity": "bed-1", "_start_time": at(f"{D}05:00:00"), "before.readings": 1, "hours.total": 1}]
 
 
 @pytest.mark.parametrize("fold", [False, True])
 def test_two_runs_equal_one(spark, fold):
-    engine = Engine(MINI)
-    whole = engine.blocks(mini(spark, FIRST + SECOND), "seq")
-    first = engine.blocks(mini(spark, FIRST), "seq", variables=True)
-    then = engine.blocks(mini(spark, SECOND), "seq", first) if not fold else None
+    engine = Engine(BEDS)
+    whole = engine.blocks(beds(spark, FIRST + SECOND), "seq")
+    first = engine.blocks(beds(spark, FIRST), "seq", variables=True)
+    then = engine.blocks(beds(spark, SECOND), "seq", first) if not fold else None
     for name in whole:
         if fold:
-            assert plain(engine.blocks(mini(spark, FIRST + SECOND), "seq", fold=True)[name]) == plain(whole[name])
+            assert plain(engine.blocks(beds(spark, FIRST + SECOND), "seq", fold=True)[name]) == plain(whole[name])
         else:
             assert plain(then[name]) == plain(whole[name])
 
@@ -80,36 +83,35 @@ def test_a_folded_identity_is_carried_on(spark):
     assert plain(then) == plain(whole)
 
 
-GAME = stream(
-    aggregate("Variable", "vars", [("is_paid", "boolean", "True", "source.event_id == 'purchase_completed'"), ("os_parts", "list", "source['os-version'].split('-')")]),
-    aggregate("Identity", "state", [
-        ("country", "string", "source.country"), ("build", "integer", "source['build']"), ("is_paid", "boolean", "state.is_paid or vars.is_paid"), ("os_name", "string", "vars['os_parts'][0]"),
-        ("os_version", "string", "vars['os_parts'][1]"), ("top_level", "integer", "max(source.level, state.top_level)", "source.event_id == 'game_end' and source.won"), ("badges", "set", "state.badges.add(source.badge)"),
-        ("offers", "map", "state.offers.increment(source.offer_key)", "source.event_id == 'purchase_completed' and source.offer_key"),
-        ("signin", "string", "'fb' if 'facebook.com' in source.signin_method else 'other'", "state.build > 210 and state.build < 440"),
+LIBRARY = stream(
+    aggregate("Variable", "vars", [("member", "boolean", "True", "source.kind == 'card_issued'"), ("shelf", "list", "source['shelf-mark'].split('-')")]),
+    aggregate("Identity", "reader", [
+        ("town", "string", "source.town"), ("age", "integer", "source['age']"), ("member", "boolean", "reader.member or vars.member"), ("hall", "string", "vars['shelf'][0]"),
+        ("row", "string", "vars['shelf'][1]"), ("longest", "integer", "max(source.days, reader.longest)", "source.kind == 'returned' and source.late"), ("topics", "set", "reader.topics.add(source.topic)"),
+        ("fines", "map", "reader.fines.increment(source.fine)", "source.kind == 'fined' and source.fine"),
+        ("channel", "string", "'net' if 'web' in source.channel else 'desk'", "reader.age > 17 and reader.age < 65"),
     ]),
-    aggregate("Block", "session", [
-        ("events", "integer", "session.events + 1"), ("won", "integer", "session.won + 1", "source.event_id == 'game_end' and source.won"), ("levels", "list", "session.levels.append(source.level)", "source.event_id == 'game_start'"),
-        ("badges", "map", "session.badges.increment(source.badge)", "source.won is True"), ("first_score", "integer", "source.score", "time == session._start_time"), ("last_score", "integer", "source.score", "time == session._end_time"),
-    ], [("session_id", "string", "source.session_id")]),
-    identity="source.user_id", time="source.t",
+    aggregate("Block", "stay", [
+        ("events", "integer", "stay.events + 1"), ("late", "integer", "stay.late + 1", "source.kind == 'returned' and source.late"), ("loans", "list", "stay.loans.append(source.days)", "source.kind == 'loan'"),
+        ("topics", "map", "stay.topics.increment(source.topic)", "source.late is True"), ("first_pages", "integer", "source.pages", "time == stay._start_time"), ("last_pages", "integer", "source.pages", "time == stay._end_time"), ("seconds", "float", "(time - stay._start_time).total_seconds()", "source.kind != 'loan'"),
+    ], [("stay_id", "string", "source.stay_id")]),
+    identity="source.card", time="source.t",
 )
 
 
-def game_events(n=400, seed=5):
+def library_events(n=400, seed=5):
     r = random.Random(seed)
     out = []
     for i in range(n):
-        kind = r.choice(["app_launched", "game_start", "game_end", "offer_shown", "purchase_completed"])
         out.append({
-            "user_id": r.choice(["u1", "u2", "u3", None]), "t": dt.datetime(2016, 2, 10, tzinfo=UTC) + dt.timedelta(seconds=r.randint(0, 5000)), "session_id": r.choice(["s1", "s2", "s3", None]), "event_id": kind,
-            "country": r.choice([None, "US", "IN"]), "build": r.choice([None, 200, 245, 500]), "os-version": r.choice([None, "android-7.1.1", "ios"]), "level": r.choice([None, 1, 5, 6, 7]),
-            "score": r.choice([None, 0, 18, 57]), "badge": r.choice([None, "bronze", "silver", "gold"]), "won": r.choice([None, True, False]), "signin_method": r.choice([None, "facebook.com", "email"]), "offer_key": r.choice([None, "", "offer1", "offer2"]), "seq": i,
+            "card": r.choice(["c1", "c2", "c3", None]), "t": dt.datetime(2021, 5, 3, tzinfo=UTC) + dt.timedelta(seconds=r.randint(0, 900)), "stay_id": r.choice(["s1", "s2", "s3", None]), "kind": r.choice(["entry", "loan", "returned", "fined", "card_issued"]),
+            "town": r.choice([None, "Ulm", "Jena"]), "age": r.choice([None, 12, 30, 70]), "shelf-mark": r.choice([None, "north-7-b", "south"]), "days": r.choice([None, 1, 14, 21, 28]),
+            "pages": r.choice([None, 0, 180, 570]), "topic": r.choice([None, "art", "law", "sea"]), "late": r.choice([None, True, False]), "channel": r.choice([None, "web form", "mail"]), "fine": r.choice([None, "", "torn", "lost"]), "seq": i,
         })
     return out
 
 
-GAME_SCHEMA = "user_id string, t timestamp, session_id string, event_id string, country string, build long, `os-version` string, level long, score long, badge string, won boolean, signin_method string, offer_key string, seq long"
+LIBRARY_SCHEMA = "card string, t timestamp, stay_id string, kind string, town string, age long, `shelf-mark` string, days long, pages long, topic string, late boolean, channel string, fine string, seq long"
 
 
 def naive(v):
@@ -118,12 +120,12 @@ def naive(v):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_plans_equal_event_by_event_evaluation(spark, seed):
-    events = game_events(seed=seed)
-    df = spark.createDataFrame([tuple(e.values()) for e in events], GAME_SCHEMA)
-    engine = Engine(GAME)
-    want = {"state": [], "session": []}
-    for who in ("u1", "u2", "u3"):
-        online = Online(GAME, who)
+    events = library_events(seed=seed)
+    df = spark.createDataFrame([tuple(e.values()) for e in events], LIBRARY_SCHEMA)
+    engine = Engine(LIBRARY)
+    want = {"reader": [], "stay": []}
+    for who in ("c1", "c2", "c3"):
+        online = Online(LIBRARY, who)
         for e in sorted(events, key=lambda e: (e["t"], e["seq"])):
             online.evaluate(e)
         for name, blocks in online.blocks().items():
@@ -131,26 +133,42 @@ def test_plans_equal_event_by_event_evaluation(spark, seed):
     for fold in (False, True):
         for name, made in engine.blocks(df, "seq", fold=fold).items():
             got = [r.asDict() for r in made.collect()]
-            key = lambda b: (b["_identity"], b.get("session_id") or "")
+            key = lambda b: (b["_identity"], b.get("stay_id") or "")
             assert sorted(got, key=key) == sorted(want[name], key=key), (name, fold)
-        assert set(engine.tiers.values()) == ({"C"} if fold else {"B"})
+        assert engine.tiers == ({"reader": "C", "stay": "C"} if fold else {"reader": "B", "stay": "A"})
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_values_at_the_start_and_since_it_are_carried_on(spark, seed):
+    """In one run they are aggregates; onto earlier blocks they take the running form. Both give the same, late events apart."""
+    events = sorted(library_events(seed=seed), key=lambda e: (e["t"], e["seq"]))
+    frame = lambda es: spark.createDataFrame([tuple(e.values()) for e in es], LIBRARY_SCHEMA)
+    spec = stream(*[a for a in LIBRARY["Aggregates"] if a["Name"] == "stay"], identity="source.card", time="source.t")
+    engine = Engine(spec)
+    whole = engine.blocks(frame(events), "seq")["stay"]
+    first = engine.blocks(frame(events[:150]), "seq", variables=True)
+    assert engine.tiers["stay"] == "A"
+    then = engine.blocks(frame(events[150:]), "seq", first)["stay"]
+    assert engine.tiers["stay"] == "B"
+    by_key = lambda df: {(r._identity, r.stay_id): r.asDict() for r in df.collect()}
+    assert by_key(then) == by_key(whole)
 
 
 def test_block_sums_over_dimensions_out_of_order(spark):
-    rows = [("u", "a", 10, 1), ("u", "b", 1, 2), ("u", "a", 100, 3), ("u", "c", 10000, 9), ("u", "c", 1000, 5)]
-    df = spark.createDataFrame([(u, k, v, dt.datetime(2018, 1, 1) + dt.timedelta(hours=h)) for u, k, v, h in rows], "id string, label string, v long, t timestamp")
-    spec = stream(aggregate("Identity", "kept", [("sum", "integer", "kept.sum + source.v"), ("count", "integer", "kept.count + 1")], [("label", "string", "source.label"), ("code", "integer", "ord(source.label)")]), identity="source.id", time="source.t")
-    assert plain(Engine(spec).blocks(df)["kept"]) == [("u", 1, 1, "b", 98), ("u", 110, 2, "a", 97), ("u", 11000, 2, "c", 99)]
-    failing = stream(aggregate("Identity", "kept", [("sum", "integer", "kept.sum + source.v")], [("label", "string", "source.label if source.label == 'b' else source.gone + 1")]), identity="source.id", time="source.t")
-    assert plain(Engine(failing).blocks(df)["kept"]) == [("u", 1, "b")]
+    rows = [("m", "n", 5, 1), ("m", "d", 7, 2), ("m", "n", 6, 3), ("m", "p", 40, 9), ("m", "p", 2, 5)]
+    df = spark.createDataFrame([(u, k, v, dt.datetime(2021, 5, 3) + dt.timedelta(hours=h)) for u, k, v, h in rows], "meter string, tariff string, v long, t timestamp")
+    spec = stream(aggregate("Identity", "kept", [("sum", "integer", "kept.sum + source.v"), ("count", "integer", "kept.count + 1")], [("tariff", "string", "source.tariff"), ("code", "integer", "ord(source.tariff)")]), identity="source.meter", time="source.t")
+    assert plain(Engine(spec).blocks(df)["kept"]) == [("m", 7, 1, "d", 100), ("m", 11, 2, "n", 110), ("m", 42, 2, "p", 112)]
+    failing = stream(aggregate("Identity", "kept", [("sum", "integer", "kept.sum + source.v")], [("tariff", "string", "source.tariff if source.tariff == 'd' else source.gone + 1")]), identity="source.meter", time="source.t")
+    assert plain(Engine(failing).blocks(df)["kept"]) == [("m", 7, "d")]
 
 
 def test_activity_splits_only_after_more_than_the_gap(spark):
-    base = dt.datetime(2018, 1, 1, 1, 1, 1)
-    rows = [("u", 10, base), ("u", 100, base + dt.timedelta(seconds=4)), ("u", 1, base + dt.timedelta(seconds=60)), ("u", 7, base + dt.timedelta(seconds=60 + 1800)), ("u", 1000, base + dt.timedelta(hours=2)), ("u", 10000, base + dt.timedelta(days=1))]
-    spec = stream(aggregate("Activity", "s", [("sum", "integer", "s.sum + source.v"), ("count", "integer", "s.count + 1")], SeparateByInactiveSeconds=1800), identity="source.id", time="source.t")
+    base = dt.datetime(2021, 5, 3, 9)
+    rows = [("u", v, base + dt.timedelta(seconds=s)) for v, s in ((3, 0), (5, 10), (7, 70), (11, 70 + 1200), (100, 7200), (1000, 86_400))]
+    spec = stream(aggregate("Activity", "s", [("sum", "integer", "s.sum + source.v"), ("count", "integer", "s.count + 1")], SeparateByInactiveSeconds=1200), identity="source.id", time="source.t")
     got = Engine(spec).blocks(spark.createDataFrame(rows, "id string, v long, t timestamp"))["s"]
-    assert sorted((r["sum"], r["count"]) for r in got.collect()) == [(118, 4), (1000, 1), (10000, 1)]
+    assert sorted((r["sum"], r["count"]) for r in got.collect()) == [(26, 4), (100, 1), (1000, 1)]
 
 
 def test_sessions_that_cross_midnight_are_one(spark):
@@ -162,10 +180,10 @@ def test_sessions_that_cross_midnight_are_one(spark):
     assert (r.n, r.seen, r.kinds, r["last"], r.lasts) == (200, list(range(200)), {"k0": 100, "k1": 100}, "k1", {"k0": 198, "k1": 199})
 
 
-BLOCKS = [("user1", 1, "2018-03-07T19:35:31"), ("user1", 2, "2018-03-07T20:35:35"), ("user1", 3, "2018-03-07T21:36:31"), ("user1", 4, "2018-03-07T22:38:31"), ("user1", 5, "2018-03-07T23:40:31"), ("user1", 6, "2018-03-08T23:40:31")]
+BLOCKS = [("p", 1, f"{D}02:00:00"), ("p", 2, f"{D}05:00:00"), ("p", 3, f"{D}07:30:00"), ("p", 4, f"{D}08:45:00"), ("p", 5, "2021-05-04T07:30:00"), ("p", 6, "2021-05-04T09:00:00")]
 
 
-@pytest.mark.parametrize("kind,value,want", [("day", 1, [4, 5]), ("day", -1, [1, 2]), ("hour", 1, None), ("hour", 2, [4]), ("hour", -24, [1, 2]), ("count", -1, [2]), ("count", 1, [4]), ("count", 20, None), ("count", -2, [1, 2])])
+@pytest.mark.parametrize("kind,value,want", [("day", 1, [4]), ("day", 2, [4, 5, 6]), ("day", -1, [1, 2]), ("hour", 1, None), ("hour", 2, [4]), ("hour", -3, [2]), ("hour", -6, [1, 2]), ("count", -1, [2]), ("count", 3, [4, 5, 6]), ("count", 4, None), ("count", -2, [1, 2])])
 def test_window_views(spark, kind, value, want):
     df = spark.createDataFrame([(u, e, at(t)) for u, e, t in BLOCKS], "_identity string, events long, _start_time timestamp").selectExpr("_identity", "_start_time", "_start_time as _end_time", "events")
     spec = stream(aggregate("Activity", "session", [("events", "integer", "source.e")], SeparateByInactiveSeconds=1))
@@ -184,30 +202,81 @@ def test_count_windows_do_not_see_blocks_of_the_same_start(spark):
         assert {r["w.own"]: r["w.n"] for r in got} == want
 
 
-@pytest.mark.parametrize("most,want", [(1, 2), (2, 3), (None, 4)])
+@pytest.mark.parametrize("most,want", [(1, 2), (2, 3), (None, 5)])
 def test_anchors_per_day(spark, most, want):
-    df = spark.createDataFrame([(u, at(t), at(t), e) for u, e, t in BLOCKS], "_identity string, _start_time timestamp, _end_time timestamp, events long").filter("events not in (2, 3)")
+    df = spark.createDataFrame([(u, at(t), at(t), e) for u, e, t in BLOCKS], "_identity string, _start_time timestamp, _end_time timestamp, events long").filter("events <> 5")
     spec = stream(aggregate("Activity", "session", [("events", "integer", "source.e")], SeparateByInactiveSeconds=1))
     win = windows(aggregate("Variable", "v", [("e", "integer", "anchor.events")]), **({"Max": most} if most else {}))
     assert Engine(spec, win).windowed({"session": df}).count() == want
 
 
 def test_empty_events_and_unknown_names(spark):
-    empty = mini(spark, [])
-    assert all(df.count() == 0 for df in Engine(MINI).blocks(empty, "seq").values())
-    assert Engine(MINI, MINI_WINDOW).features(empty, "seq").count() == 0
+    empty = beds(spark, [])
+    assert all(df.count() == 0 for df in Engine(BEDS).blocks(empty, "seq").values())
+    assert Engine(BEDS, BEDS_WINDOW).features(empty, "seq").count() == 0
     from strandline.plans.expr import UnknownName
 
-    bad = stream(aggregate("Identity", "state", [("x", "integer", "nowhere.x + 1")]), identity="source.user_id", time="parse(source.event_time)")
+    bad = stream(aggregate("Identity", "state", [("x", "integer", "nowhere.x + 1")]), identity="source.bed", time="parse(source.read_at)")
     with pytest.raises(UnknownName):
         Engine(bad).blocks(empty)
 
 
 def test_order_of_input_rows_does_not_matter(spark):
     rows = FIRST + SECOND
-    df = mini(spark, rows)
-    for name, made in Engine(MINI).blocks(df.orderBy("country", "user_id"), "seq").items():
-        assert plain(made) == plain(Engine(MINI).blocks(df, "seq")[name])
+    df = beds(spark, rows)
+    for name, made in Engine(BEDS).blocks(df.orderBy("crop", "bed"), "seq").items():
+        assert plain(made) == plain(Engine(BEDS).blocks(df, "seq")[name])
+
+
+def test_imports_are_looked_up_in_a_list(spark):
+    from strandline.plans.imports import UnknownImport
+
+    df = readers.records(spark, [{"u": "a", "t": dt.datetime(2020, 1, 1), "v": 5.5}], "u string, t timestamp, v double")
+    fields = [("a", "integer", "math.floor(source.v)"), ("b", "float", "root(source.v - 1.5)"), ("c", "float", "mean([source.v, 1.5])"), ("d", "float", "math.hypot(3, 4)"), ("e", "float", "math.sqrt(-source.v)"), ("f", "datetime", "p('Mar 4 2018')"), ("g", "datetime", "datetime.datetime(2020, 1, 2)"), ("h", "integer", "s.h + math.ceil(source.v) + s.a")]
+    spec = stream(aggregate("Identity", "s", fields), identity="source.u", time="source.t", Import=[{"Module": "math"}, {"Module": "math", "Identifiers": ["sqrt as root"]}, {"Module": "statistics", "Identifiers": ["mean"]}, {"Module": "dateutil.parser", "Identifiers": ["parse as p"]}, {"Module": "datetime"}])
+    for fold in (False, True):
+        r = Engine(spec).blocks(df, fold=fold)["s"].collect()[0]
+        assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h) == (5, 2.0, 3.5, 5.0, 0.0, dt.datetime(2018, 3, 4), dt.datetime(2020, 1, 2), 11)
+    for bad in ({"Module": "os"}, {"Module": "math", "Identifiers": ["nothing"]}, {"Module": "subprocess", "Identifiers": ["run"]}):
+        with pytest.raises(UnknownImport):
+            Engine(spec | {"Import": [bad]})
+    own = spec | {"Import": [{"Module": "our.own", "Identifiers": ["mean"]}, {"Module": "math"}, {"Module": "math", "Identifiers": ["sqrt as root"]}, {"Module": "dateutil.parser", "Identifiers": ["parse as p"]}, {"Module": "datetime"}]}
+    assert Engine(own, python_functions={"mean": lambda x: -1.0}).blocks(df)["s"].collect()[0].c == -1.0
+
+
+def test_events_are_keyed_once_if_asked(spark):
+    df = beds(spark, FIRST + SECOND)
+    engine = Engine(BEDS, once=True)
+    made = engine.blocks(df, "seq")
+    for name, plan in ((n, d._jdf.queryExecution().executedPlan().toString()) for n, d in made.items()):
+        assert "keyed-events" in plan and "ExistingRDD" not in plan, name
+        assert plain(made[name]) == plain(Engine(BEDS).blocks(df, "seq")[name])
+
+
+def test_values_at_a_start_need_no_window(spark):
+    plan = Engine(LIBRARY).blocks(spark.createDataFrame([], LIBRARY_SCHEMA), "seq")["stay"]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_failed_values_are_counted(spark):
+    rows = [("a", "7"), ("a", "x"), ("b", None), ("b", "")]
+    df = spark.createDataFrame([(u, dt.datetime(2021, 5, 3), v) for u, v in rows], "u string, t timestamp, v string")
+    spec = stream(aggregate("Identity", "s", [("n", "integer", "s.n + 1"), ("v", "integer", "source.v"), ("w", "integer", "int(source.v)", "source.v"), ("x", "float", "0.5 * s.x + 1"), ("y", "string", "'{}'.format(source.v.upper())")]), identity="source.u", time="source.t")
+    assert Engine(spec).failures(df) == {"s.n": 0, "s.v": 3, "s.w": 1, "s.y": 1}
+    assert Engine(spec).failures(df.limit(0)) == {"s.n": 0, "s.v": 0, "s.w": 0, "s.y": 0}
+
+
+def test_window_fields_without_a_column_form(spark):
+    df = spark.createDataFrame([(u, at(t), at(t), e) for u, e, t in BLOCKS], "_identity string, _start_time timestamp, _end_time timestamp, events long")
+    spec = stream(aggregate("Activity", "session", [("events", "integer", "source.e")], SeparateByInactiveSeconds=1))
+    fields = [("mean", "float", "round(sum(source.events) / 3, 2)"), ("text", "string", "'{:02d}'.format(max(source.events))"), ("odd", "boolean", "any(e % 2 for e in source.events)"), ("peak", "integer", "sorted(source.events, reverse=True)[0] * anchor.events")]
+    got = Engine(spec, windows(window("w", "count", -3, fields), condition="own.session.events == 6")).windowed({"session": df}).collect()
+    assert [tuple(r)[2:] for r in got] == [(4.0, "05", True, 30)]
+    from strandline.plans.expr import UnknownName, Unsupported
+
+    for bad in ("source.events.encode()", "nowhere(source.events)"):
+        with pytest.raises((Unsupported, UnknownName)):
+            Engine(spec, windows(window("w", "count", -3, [("x", "integer", bad)]), condition="own.session.events == 6")).windowed({"session": df})
 
 
 def test_imported_functions(spark):

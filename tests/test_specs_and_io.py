@@ -13,10 +13,10 @@ from strandline.plans.validate import SpecError, problems, validate
 from strandline.sources import readers
 from strandline.sources import state as store
 from strandline.streaming import runs
-from tests.test_engine import FIRST, MINI, MINI_WINDOW, SECOND, plain
+from tests.test_engine import BEDS, BEDS_WINDOW, FIRST, SECOND, plain
 
 
-def changed(path, value, spec=MINI):
+def changed(path, value, spec=BEDS):
     doc = json.loads(json.dumps(spec))
     at = doc
     for p in path[:-1]:
@@ -29,20 +29,20 @@ def changed(path, value, spec=MINI):
 
 
 def test_valid_specs():
-    validate(MINI)
-    validate(MINI_WINDOW)
+    validate(BEDS)
+    validate(BEDS_WINDOW)
 
 
 @pytest.mark.parametrize(
     "doc,where,attribute,kind",
     [
-        (changed(["Version"], "2018-03-02"), "own", "Version", "value"), (changed(["Time"], None), "own", "Time", "required"), (changed(["Anchor", "Max"], "one", MINI_WINDOW), "near.anchor", "Max", "number"),
-        (changed(["Anchor", "Max"], 0, MINI_WINDOW), "near.anchor", "Max", "number"), (changed(["Aggregates", 1, "Fields", 0, "Type"], "decimal"), "own.state.country", "Type", "type"), (changed(["When"], "source.x ="), "own", "When", "expression"),
-        (changed(["When"], "source.x = 1"), "own", "When", "expression"), (changed(["Aggregates", 1, "Fields"], None), "own.state", "Fields", "required"), (changed(["Aggregates", 1, "Fields", 0, "Name"], "_country"), "own.state._country", "Name", "identifier"),
-        (changed(["Aggregates", 1, "Fields", 0, "Name"], "run_x"), "own.state.run_x", "Name", "identifier"), (changed(["Aggregates", 1, "Fields", 0, "Name"], "a-b"), "own.state.a-b", "Name", "identifier"), (changed(["Type"], "Own:Transform:Other"), "own", "Type", "type"),
-        (changed(["Aggregates", 1, "Dimensions"], [{"Name": "d", "Type": "float", "Value": "source.d"}]), "own.state.d", "Type", "value"), (changed(["Aggregates", 2, "SeparateByInactiveSeconds"], 0), "own.session", "SeparateByInactiveSeconds", "number"),
-        (changed(["Aggregates", 2, "SeparateByInactiveSeconds"], None), "own.session", "SeparateByInactiveSeconds", "required"), (changed(["Aggregates", 0, "Fields", 0, "Value"], ""), "own.vars.continent", "Value", "empty"), (changed(["Aggregates", 0, "WindowValue"], 0, MINI_WINDOW), "near.last_session", "WindowValue", "empty"),
-        (changed(["Stores", 0, "Type"], "Own:Store:Dynamo"), "own.kept", "Table", "required"), (changed(["Import"], [{"Identifiers": ["x"]}]), "own", "Import", "import"), (changed(["Aggregates", 0, "Type"], "Own:Aggregate:Block", MINI_WINDOW), "near.last_session", "Type", "type"),
+        (changed(["Version"], "2018-03-02"), "own", "Version", "value"), (changed(["Time"], None), "own", "Time", "required"), (changed(["Anchor", "Max"], "one", BEDS_WINDOW), "near.anchor", "Max", "number"),
+        (changed(["Anchor", "Max"], 0, BEDS_WINDOW), "near.anchor", "Max", "number"), (changed(["Aggregates", 1, "Fields", 0, "Type"], "decimal"), "own.plot.crop", "Type", "type"), (changed(["When"], "source.x ="), "own", "When", "expression"),
+        (changed(["When"], "source.x = 1"), "own", "When", "expression"), (changed(["Aggregates", 1, "Fields"], None), "own.plot", "Fields", "required"), (changed(["Aggregates", 1, "Fields", 0, "Name"], "_crop"), "own.plot._crop", "Name", "identifier"),
+        (changed(["Aggregates", 1, "Fields", 0, "Name"], "run_x"), "own.plot.run_x", "Name", "identifier"), (changed(["Aggregates", 1, "Fields", 0, "Name"], "a-b"), "own.plot.a-b", "Name", "identifier"), (changed(["Type"], "Own:Transform:Other"), "own", "Type", "type"),
+        (changed(["Aggregates", 1, "Dimensions"], [{"Name": "d", "Type": "float", "Value": "source.d"}]), "own.plot.d", "Type", "value"), (changed(["Aggregates", 2, "SeparateByInactiveSeconds"], 0), "own.visit", "SeparateByInactiveSeconds", "number"),
+        (changed(["Aggregates", 2, "SeparateByInactiveSeconds"], None), "own.visit", "SeparateByInactiveSeconds", "required"), (changed(["Aggregates", 0, "Fields", 0, "Value"], ""), "own.vars.zone", "Value", "empty"), (changed(["Aggregates", 0, "WindowValue"], 0, BEDS_WINDOW), "near.before", "WindowValue", "empty"),
+        (changed(["Stores", 0, "Type"], "Own:Store:Dynamo"), "own.kept", "Table", "required"), (changed(["Import"], [{"Identifiers": ["x"]}]), "own", "Import", "import"), (changed(["Aggregates", 0, "Type"], "Own:Aggregate:Block", BEDS_WINDOW), "near.before", "Type", "type"),
     ],
 )
 def test_problems_are_found(doc, where, attribute, kind):
@@ -59,9 +59,9 @@ def test_problems_are_collected_once():
 @pytest.fixture
 def folder(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
-    (tmp_path / "s.yml").write_text(yaml.safe_dump(MINI))
-    (tmp_path / "w.yml").write_text(yaml.safe_dump(MINI_WINDOW))
-    lines = [json.dumps({"user_id": u, "event_time": t, **({"country": c} if c else {})}) for u, t, c in FIRST]
+    (tmp_path / "s.yml").write_text(yaml.safe_dump(BEDS))
+    (tmp_path / "w.yml").write_text(yaml.safe_dump(BEDS_WINDOW))
+    lines = [json.dumps({"bed": u, "read_at": t, **({"crop": c} if c else {})}) for u, t, c in FIRST]
     (tmp_path / "raw.json").write_text("\n".join([*lines[:3], "{broken", *lines[3:], "[1]"]) + "\n")
     return tmp_path
 
@@ -78,10 +78,10 @@ def test_validate_command(folder, capsys):
 def test_transform_command(spark, folder, capsys):
     assert cli.main(["transform", str(folder / "raw.json")]) == 0  # finds both specs
     got = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert got == [["userA", [{"last_day.total_events": 1, "last_session.events": 1}]], ["userB", []], ["userC", []]]
+    assert got == [["bed-1", [{"before._identity": "bed-1", "before.readings": 1, "hours._identity": "bed-1", "hours.total": 1}]], ["bed-2", []], ["bed-3", []]]
     assert cli.main(["transform", "--streaming", "s.yml", "--output", str(folder / "out"), str(folder / "raw.json")]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert ["userA/session//2018-03-07T22:35:31+00:00", {"_identity": "userA", "_start_time": "2018-03-07T22:35:31+00:00", "_end_time": "2018-03-07T22:35:31+00:00", "events": 1, "country": "US", "continent": "North America"}] in lines
+    assert ["bed-1/visit//2021-05-03T05:00:00+00:00", {"_identity": "bed-1", "_start_time": "2021-05-03T05:00:00+00:00", "_end_time": "2021-05-03T05:25:00+00:00", "readings": 3, "crop": "kale", "zone": "dry"}] in lines
     assert len(lines) == 8 == spark.read.text(str(folder / "out")).count()
     assert cli.main(["transform", "--processor", "none", "raw.json"]) == 1
     assert cli.main(["transform", "--runner", "none", "raw.json"]) == 1
@@ -94,19 +94,19 @@ def test_no_spec_is_an_error(tmp_path, monkeypatch, capsys):
 
 
 def test_spec_from_a_file(folder):
-    assert stream_spec(str(folder / "s.yml")) == stream_spec(MINI)
+    assert stream_spec(str(folder / "s.yml")) == stream_spec(BEDS)
 
 
 def test_feature_file(spark, folder):
     df = readers.json_lines(spark, str(folder / "raw.json"))
-    sinks.write_features(Engine(MINI, MINI_WINDOW).features(df, "_order"), str(folder / "csv"))
+    sinks.write_features(Engine(BEDS, BEDS_WINDOW).features(df, "_order"), str(folder / "csv"))
     text = "".join(p.read_text() for p in (folder / "csv").glob("*.csv") if p.stat().st_size)
-    assert text.splitlines() == ["last_day.total_events,last_session.events", "1,1"]
+    assert text.splitlines() == ["before._identity,before.readings,hours._identity,hours.total", "bed-1,1,bed-1,1"]
 
 
 def test_json_lines_with_a_schema_and_broken_lines(spark, folder):
-    df = readers.json_lines(spark, [str(folder / "raw.json")], "user_id string, event_time string, country string, other long")
-    assert df.count() == 6 and df.filter("other is not null").count() == 0
+    df = readers.json_lines(spark, [str(folder / "raw.json")], "bed string, read_at string, crop string, other long")
+    assert df.count() == 7 and df.filter("other is not null").count() == 0
 
 
 def test_ipfix(spark):
@@ -131,15 +131,50 @@ def test_state_tables(spark, tmp_path):
 
 
 def test_spec_carried_over_micro_batches(spark, tmp_path):
-    from tests.test_engine import mini
+    from tests.test_engine import beds
 
-    engine, whole = Engine(MINI), Engine(MINI).blocks(mini(spark, FIRST + SECOND), "seq")
+    engine, whole = Engine(BEDS), Engine(BEDS).blocks(beds(spark, FIRST + SECOND), "seq")
     step = runs.carried_spec(engine, str(tmp_path / "state"), "seq")
-    step(mini(spark, FIRST), 0)
-    step(mini(spark, SECOND), 1)
-    step(mini(spark, SECOND), 1)  # run again after a failure
-    for name, df in runs.blocks_at(spark, engine, str(tmp_path / "state"), 1).items():
-        assert plain(df) == plain(whole[name])
+    step(beds(spark, FIRST), 0)
+    step(beds(spark, SECOND), 1)
+    step(beds(spark, SECOND), 1)  # run again after a failure
+    found = runs.blocks_at(spark, engine, str(tmp_path / "state"), 1)
+    assert set(found) == set(whole)
+    for name, df in found.items():
+        assert plain(df.drop("_bucket")) == plain(whole[name])
+
+
+def test_only_touched_buckets_are_written_and_old_versions_go(spark, tmp_path):
+    from tests.test_engine import beds
+
+    engine, at = Engine(BEDS), tmp_path / "state"
+    step = runs.carried_spec(engine, str(at), "seq")
+    for n, rows in enumerate((FIRST, SECOND[:1], SECOND[1:], SECOND[1:2])):
+        step(beds(spark, rows), n)
+    buckets = lambda v: {p.name for p in (at / f"v{v}/plot").glob("_bucket=*")}
+    bed = lambda name: {f"_bucket={spark.range(1).select(runs._bucket(F.lit(name))).first()[0]}"}
+    assert buckets(1) == bed("bed-1") and buckets(3) == bed("bed-3")
+    assert bed("bed-1").isdisjoint(buckets(0)) and bed("bed-2") <= buckets(0)
+
+
+def test_periods_past_the_cut_off_are_closed_and_their_uids_forgotten(spark, tmp_path):
+    from strandline.operators import late
+    from tests.test_late import DAY, SCHEMA
+
+    rows = [(i, i, d * DAY + h * DAY // 4, d * DAY, float(i % 3)) for i, (d, h) in enumerate((d, h) for d in range(8) for h in (0, 5, 20))] + [(i, 100 + i, 9 * DAY, d * DAY, float(i % 3)) for i, d in ((0, 0), (18, 6))] + [(99, 99, 11 * DAY + DAY // 2, 11 * DAY, 1.0)]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    c = {"uid": F.col("uid"), "tie": F.col("tie"), "arrived_us": F.col("a"), "instant_us": F.col("t"), "value": F.col("value")}
+    step, at = runs.carried_multisets(str(tmp_path / "m"), c), str(tmp_path / "m")
+    for n in range(4):
+        step(df.filter(f"a >= {n * 4 * DAY} and a < {(n + 1) * 4 * DAY}"), n)
+    whole = {(r.period, r.value): (r.n_on_time, r.n_corrected) for r in late.multisets(late.judged(df, *c.values())).collect()}
+    assert {(r.period, r.value): (r.n_on_time, r.n_corrected) for r in runs.multisets_at(spark, at, 3).collect() if r.n_on_time + r.n_corrected} == {k: v for k, v in whole.items() if sum(v)}
+    newest = max(a for _, _, a, _, _ in rows)
+    seen = {r.period for r in spark.read.parquet(f"{at}/v3/seen").collect()}
+    assert seen and all((p + 1) * DAY + 2 * DAY >= newest for p in seen)
+    assert not (tmp_path / "m/v0").exists() and not (tmp_path / "m/v1").exists() and (tmp_path / "m/v2").exists()
+    counts = {(r.period, r.value): r.n_dropped for r in runs.multisets_at(spark, at, 3).collect()}
+    assert counts[0, 0.0] == 1  # delivered again after the cut-off: by then nobody knows that it was counted
 
 
 def test_multisets_corrected_batch_by_batch(spark, tmp_path):
@@ -154,7 +189,52 @@ def test_multisets_corrected_batch_by_batch(spark, tmp_path):
     for n, part in enumerate((df.filter(f"a < {DAY}"), df.filter(f"a >= {DAY} and a < {5 * DAY}"), df.filter(f"a >= {5 * DAY}"))):
         step(part, n)
     key = lambda r: tuple((v is not None, v) for v in r)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m/v2/counts")).collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
+    assert sorted(map(tuple, runs.multisets_at(spark, str(tmp_path / "m"), 2).collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
+
+
+def test_a_store_is_replaced_from_itself(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "kept"))
+    assert kept.load() is None and kept.names() == []
+    kept.save({"x": spark.range(3), "y": spark.range(1)})
+    kept.save({"x": kept.load()["x"].selectExpr("id + 10 as id")})
+    assert kept.names() == ["x"] and sorted(r.id for r in kept.load()["x"].collect()) == [10, 11, 12]
+    assert kept.finalize() == 1 and sorted(r.id for r in store.Store(spark, str(tmp_path / "kept")).load()["x"].collect()) == [10, 11, 12]
+
+
+def test_items_for_a_key_value_table(spark, tmp_path):
+    from strandline.plans.catalogue import FileClient
+    from tests.test_engine import beds
+
+    engine, path = Engine(BEDS), str(tmp_path / "items")
+    made = engine.blocks(beds(spark, FIRST), "seq")["visit"]
+    store.write_items(made.coalesce(1), sinks.block_key(engine.stream.aggregate("visit")), lambda: FileClient(path), batch=2)
+    items = [json.loads(x) for p in (tmp_path / "items").glob("*.json") for x in p.read_text().splitlines()]
+    assert len(items) == 5 and {i["partition_key"] for i in items} == {"bed-1", "bed-2", "bed-3"}
+    assert all(i["range_key"].startswith("visit//2021-05-03T") for i in items)
+    assert [sorted(i) for i in items if i["partition_key"] == "bed-3"] == [["_end_time", "_identity", "_start_time", "partition_key", "range_key", "readings"]]
+
+
+def test_decimals_in_block_lines(spark):
+    from strandline.plans.catalogue import aggregate, stream
+
+    df = spark.sql("select 'a' as _identity, cast(3 as decimal(10,2)) as x, cast(2.5 as decimal(10,2)) as y, cast(null as decimal(10,2)) as z")
+    (line,) = sinks.block_lines(df, Engine(stream(aggregate("Identity", "s", [("x", "float", "1")]))).stream.aggregate("s")).collect()
+    assert json.loads(line.value) == ["a/s//", {"_identity": "a", "x": 3, "y": 2.5, "z": None}] and '"x":3,' in line.value
+
+
+def test_a_processor_of_ones_own(spark, folder, capsys):
+    (folder / "ours.py").write_text("from strandline.sources import readers\n\n\ndef doubled(spark, paths):\n    df = readers.json_lines(spark, paths)\n    return df.unionByName(df)\n")
+    assert cli.main(["transform", "--streaming", "s.yml", "--processor", "ours:doubled", str(folder / "raw.json")]) == 0
+    assert '"readings":6' in capsys.readouterr().out
+    assert cli.main(["transform", "--streaming", "s.yml", "--processor", "ours:nothing", str(folder / "raw.json")]) == 1
+    assert cli.main(["transform", "--streaming", "s.yml", "--processor", "missing.module:f", str(folder / "raw.json")]) == 1
+
+
+def test_intermediate_tables_are_released(spark):
+    from strandline import session
+
+    made = session.materialize(spark.range(5), "to-release")
+    assert made.count() == 5 and session.release(spark) >= 1 and session.release(spark) == 0
 
 
 def test_stream_of_sessions_in_append_mode(spark, tmp_path):
@@ -171,31 +251,31 @@ def test_stream_of_sessions_in_append_mode(spark, tmp_path):
 
 def test_event_by_event_on_a_stream(spark, tmp_path):
     from strandline.streaming import stateful
-    from tests.test_engine import mini
+    from tests.test_engine import beds
 
     src = tmp_path / "in"
-    mini(spark, FIRST).drop("_id").coalesce(1).write.parquet(str(src))
-    mini(spark, SECOND).drop("_id").coalesce(1).write.mode("append").parquet(str(src))
+    beds(spark, FIRST).drop("_id").coalesce(1).write.parquet(str(src))
+    beds(spark, SECOND).drop("_id").coalesce(1).write.mode("append").parquet(str(src))
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, stateful.PROVIDER)
     try:
-        df = spark.readStream.schema("user_id string, event_time string, country string, seq long, s0 string").option("maxFilesPerTrigger", 1).parquet(str(src))
+        df = spark.readStream.schema("bed string, read_at string, crop string, seq long, s0 string").option("maxFilesPerTrigger", 1).parquet(str(src))
         got = {}
 
         def keep(batch, number):
             for r in batch.collect():
                 got.setdefault((r.identity, r.aggregate), {})[json.loads(r.snapshot).get("_start_time")] = json.loads(r.snapshot)
 
-        q = stateful.evaluate(df, Engine(MINI), "seq").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q = stateful.evaluate(df, Engine(BEDS), "seq").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.set(key, before)
-    assert got["userA", "state"][None] == {"country": "IN", "continent": "World", "_identity": "userA"}
-    assert sorted(b["events"] for b in got["userA", "session"].values()) == [1, 3]
-    assert sorted(b["events"] for b in got["userC", "session"].values()) == [1, 1]
+    assert got["bed-1", "plot"][None] == {"crop": "kale", "zone": "dry", "_identity": "bed-1"}
+    assert sorted(b["readings"] for b in got["bed-1", "visit"].values()) == [1, 4]
+    assert sorted(b["readings"] for b in got["bed-3", "visit"].values()) == [1, 1]
 
 
 def test_rejects_are_counted(spark):
-    df = spark.createDataFrame([("a", "2018-03-07"), ("a", "2018-03-07T00:00:00"), ("a", "no"), ("", "2018-03-07T00:00:00"), (None, None), ("b", None)], "user_id string, event_time string")
-    assert Engine(MINI).rejects(df) == {"identity": 2, "time": 2}
+    df = spark.createDataFrame([("a", "2018-03-07"), ("a", "2018-03-07T00:00:00"), ("a", "no"), ("", "2018-03-07T00:00:00"), (None, None), ("b", None)], "bed string, read_at string")
+    assert Engine(BEDS).rejects(df) == {"identity": 2, "time": 2}
