@@ -154,24 +154,40 @@ def merged_intervals(parts: DataFrame, gap_s: int, keep: list[str]) -> DataFrame
     return parts.withColumn("_opens", opens).withColumn("_sid", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*keep, "_sid")
 
 
-def session_blocks(df: DataFrame, agg, rules: list, bare: bool = False) -> DataFrame:
-    """Sessions in two steps: fragments within (id, UTC day), then fragments of one id joined across days.
+def fragments(df: DataFrame, gap_s: int, rules: list) -> DataFrame:
+    """Sessions as far as they lie within one UTC day: (_id, _day, _part, st, et, f0, f1 ...), the aggregates of ``rules`` over each.
 
-    An id that owns much of the table is spread over its days in the first step; the second moves fragments only.
+    An id that owns much of the table is spread over its days.
     """
     day = df.withColumn("_day", epoch_day(F.unix_micros("_time")))
     w = Window.partitionBy("_id", "_day").orderBy("_time", "_seq")
     gap = F.unix_micros("_time") - F.unix_micros(F.lag("_time").over(w))
-    opens = F.when(gap <= agg.gap_s * 1_000_000, 0).otherwise(1)
+    opens = F.when(gap <= gap_s * 1_000_000, 0).otherwise(1)
     cut = day.withColumn("_opens", opens).withColumn("_part", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = _raw(cut, ["_id", "_day", "_part"], True, rules, ["_time", "_seq"])
-    fields = [f"f{i}" for i in range(len(rules))]
-    linked = merged_intervals(parts, agg.gap_s, ["_id", "st", "et", *fields])
-    order = F.struct("st")
-    whole = linked.groupBy("_id", "_sid").agg(F.min("st").alias("s"), F.max("et").alias("et"), *(_merge(rule, F.col(f"f{i}"), order).alias(f"f{i}") for i, (_, rule, _) in enumerate(rules)))
+    return _raw(cut, ["_id", "_day", "_part"], True, rules, ["_time", "_seq"])
+
+
+def _merged_fields(rules: list, first: int) -> list[Column]:
+    return [_merge(rule, F.col(f"f{first + i}"), F.struct("st")).alias(f"f{i}") for i, (_, rule, _) in enumerate(rules)]
+
+
+def sessions_of(parts: DataFrame, agg, rules: list, bare: bool = False, first: int = 0) -> DataFrame:
+    """Sessions out of fragments, joined across days; the fields of ``rules`` are f<first> and on. Only fragments are moved."""
+    linked = merged_intervals(parts, agg.gap_s, ["_id", "st", "et", *(f"f{first + i}" for i in range(len(rules)))])
+    whole = linked.groupBy("_id", "_sid").agg(F.min("st").alias("s"), F.max("et").alias("et"), *_merged_fields(rules, first))
     return _shown(whole.withColumnRenamed("s", "st"), True, rules, {}, bare)
 
 
+def identities_of(parts: DataFrame, rules: list, first: int) -> DataFrame:
+    """One row per id out of the fragments of its sessions."""
+    return _shown(parts.groupBy("_id").agg(*_merged_fields(rules, first)), False, rules, {}, False)
+
+
+def session_blocks(df: DataFrame, agg, rules: list, bare: bool = False) -> DataFrame:
+    """Sessions in two steps: fragments within (id, UTC day), then fragments of one id joined across days."""
+    return sessions_of(fragments(df, agg.gap_s, rules), agg, rules, bare)
+
+
 def carried_on(old: DataFrame, new: DataFrame, agg, kinds: dict[str, str]) -> DataFrame:
     """Earlier blocks merged with new, bare ones of the same aggregate; blocks on either side alone stay as they are.
 

@@ -305,8 +305,8 @@ GAP = 21600
 _NEAR = f"WITH {sessions_sql(GAP)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY st) AS i FROM s)"
 
 
-def near(spark: SparkSession, folder: str, spec: dict, stream_spec: dict | None = None) -> DataFrame:
-    made = Engine(stream_spec or session_spec(GAP), spec).features(events(spark, folder), "event_id")
+def near(spark: SparkSession, folder: str, spec: dict, stream_spec: dict | None = None, once: bool = False) -> DataFrame:
+    made = Engine(stream_spec or session_spec(GAP), spec, once=once).features(events(spark, folder), "event_id")
     return shown(made, _identity="user_id")
 
 
@@ -417,7 +417,7 @@ def features_wide(spark: SparkSession, folder: str) -> DataFrame:
         aggregate("Variable", "label", [("own", "integer", "anchor.events"), ("all", "integer", "own.state.events")]),
         Max=2,
     )
-    return near(spark, folder, spec)
+    return near(spark, folder, spec, once=True)
 
 
 _CUT = "2024-01-15 00:00:00"

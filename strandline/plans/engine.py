@@ -332,6 +332,12 @@ class Engine:
         Only attributes that the spec names are kept. Rows without identity or time, or whose spec-wide condition is
         not true, go. Without ``seq`` the order of reading counts.
         """
+        ev = self._keyed(df, seq, state)
+        if self.once:
+            ev.df = self._written(df, seq, ev.df)
+        return ev
+
+    def _keyed(self, df: DataFrame, seq: str | None, state: dict[str, DataFrame] | None = None) -> _Events:
         wanted = sorted(set().union(*(attributes_of(x, "source") for x in expressions(self.stream))))
         have = {f.name: f.dataType for f in df.schema}
         there = [a for a in wanted if a in have]
@@ -352,7 +358,7 @@ class Engine:
         when = Compiler({"time": V(F.col("_time"), "dt"), "identity": V(F.col("_id"), "str")}, attribute, self.functions, python_functions=self.python_functions).condition(self.stream.when)
         keyed = raw.withColumn("_id", id_col).withColumn("_time", coerce(time, "datetime")).filter("_id is not null and _time is not null")
         keyed = keyed if when is None else keyed.filter(when)
-        return _Events(self._written(df, seq, keyed) if self.once else keyed, self.stream, attributes, self.functions, state, self.python_functions)
+        return _Events(keyed, self.stream, attributes, self.functions, state, self.python_functions)
 
     def _written(self, df: DataFrame, seq: str | None, keyed: DataFrame) -> DataFrame:
         """The keyed events from the shared folder, written when they are first asked for."""
@@ -400,9 +406,10 @@ class Engine:
         events stay. A session rule that looks at the session itself cannot be carried on and is refused. ``fold`` sends
         every aggregate through the ordered fold, which knows all rules; for tests.
         """
-        out = {}
-        for agg in self.stream.aggregates:
-            if agg.kind == "variable" and not variables:
+        wanted = [a for a in self.stream.aggregates if a.kind != "variable" or variables]
+        out = self._from_fragments(df, seq, wanted) if self.once and state is None and not fold else {}
+        for agg in wanted:
+            if agg.name in out:
                 continue
             carried = state is not None and agg.name in state
             new = self._aggregate(self.keyed(df, seq, state), agg, fold, carried)
@@ -416,6 +423,25 @@ class Engine:
             out[agg.name] = new
         return out
 
+    def _from_fragments(self, df: DataFrame, seq: str | None, wanted: list[Aggregate]) -> dict[str, DataFrame]:
+        """Sessions and the identity aggregates over the same events from one set of fragments, for which the events are read once.
+
+        Both kinds of rule must be mergeable. The fragments are written, since both are computed from them.
+        """
+        for a in wanted:
+            self._aggregate(self._keyed(df, seq), a, False, False)  # for the tiers; nothing runs
+        act = next((a for a in wanted if a.kind == "activity" and not a.dimensions and self.tiers[a.name] == "A"), None)
+        mine = [a for a in wanted if act is not None and a.kind == "identity" and not a.dimensions and a.when == act.when and self.tiers[a.name] == "A"]
+        if not mine:
+            return {}
+        ev, rules, first = self._keyed(df, seq) if len(mine) + 1 == len(wanted) else self.keyed(df, seq), [], {}
+        for a in (act, *mine):
+            first[a.name] = len(rules)
+            rules += [(f, *ev.updates(a, f)) for f in a.fields]
+        parts = materialize(B.fragments(ev.df.filter(ev.passes(act)), act.gap_s, rules), "fragments")
+        of = lambda a: rules[first[a.name] : first[a.name] + len(a.fields)]
+        return {act.name: B.sessions_of(parts, act, of(act), first=first[act.name])} | {a.name: B.identities_of(parts, of(a), first[a.name]) for a in mine}
+
     def _aggregate(self, ev: _Events, agg: Aggregate, fold: bool, carried: bool) -> DataFrame:
         if not fold:
             try:

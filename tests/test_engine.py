@@ -253,6 +253,22 @@ def test_events_are_keyed_once_if_asked(spark):
         assert plain(made[name]) == plain(Engine(BEDS).blocks(df, "seq")[name])
 
 
+@pytest.mark.parametrize("more", [False, True])
+def test_sessions_and_identities_share_fragments(spark, more):
+    r = random.Random(9)
+    rows = [(r.choice("abc"), dt.datetime(2021, 5, 3) + dt.timedelta(minutes=r.randint(0, 5000)), r.choice([None, 1, 2, 3]), r.choice([None, "x", "y"]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "u string, t timestamp, v long, k string, seq long")
+    fields = lambda a: [("n", "integer", f"{a}.n + 1"), ("total", "integer", f"{a}.total + source.v"), ("low", "integer", f"min(source.v, {a}.low)"), ("last", "string", "source.k"), ("all", "list", f"{a}.all.append(source.v)"), ("kinds", "set", f"{a}.kinds.add(source.k)"), ("per", "map", f"{a}.per.increment(source.k)"), ("lasts", "map", f"{a}.lasts.set(source.k, source.v)"), ("any", "boolean", f"{a}.any or source.v == 3")]
+    extra = [aggregate("Block", "daily", [("n", "integer", "daily.n + 1")], [("day", "string", "str(time.date())")])] if more else []
+    spec = stream(aggregate("Activity", "s", [*fields("s"), ("first", "string", "source.k", "time == s._start_time"), ("span", "float", "(time - s._start_time).total_seconds()")], SeparateByInactiveSeconds=1800), aggregate("Identity", "i", fields("i")), *extra, identity="source.u", time="source.t")
+    made, want = Engine(spec, once=True).blocks(df, "seq"), Engine(spec).blocks(df, "seq")
+    for name in want:
+        by_key = lambda d: sorted((r.asDict() for r in d.collect()), key=lambda r: (r["_identity"], str(r.get("_start_time"))))
+        assert by_key(made[name]) == by_key(want[name])
+        plan = made[name]._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and ("fragments" in plan) == (name != "daily")
+
+
 def test_values_at_a_start_need_no_window(spark):
     plan = Engine(LIBRARY).blocks(spark.createDataFrame([], LIBRARY_SCHEMA), "seq")["stay"]._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
