@@ -731,7 +731,7 @@ def stream_carried_spec(spark: SparkSession, folder: str) -> DataFrame:
     """A spec over two micro-batches, each onto the state that the one before left in its buckets."""
     df, engine, at = events(spark, folder), Engine(two_batches()), f"{shared_dir(spark)}/carried-{uuid.uuid4().hex}"
     early = F.col("ts") < F.lit(_CUT).cast("timestamp_ntz")
-    step = runs.carried_spec(engine, at, "event_id")
+    step = runs.carried_spec(engine, at, "event_id", buckets=8)
     step(df.filter(early), 0)
     step(df.filter(~early), 1)
     return shown(runs.blocks_at(spark, engine, at, 1)["session"].drop("_bucket"), _identity="user_id")

@@ -164,9 +164,9 @@ def java_pattern(fmt: str) -> tuple[str, bool]:
     return out, "%z" in fmt
 
 
-#: Further forms of dates, once commas and the day of the week are gone: with the month by name, slashed, or American.
-_DATES = "[[MMMM][MMM] d yyyy][d [MMMM][MMM] yyyy][yyyy/M/d][M/d/yyyy][yyyy [MMMM][MMM] d]"
-_TIMES = ("[ H:mm[:ss]]", " h:mm[:ss] a")
+#: Further forms of dates, once commas and the day of the week are gone: with the month by name, slashed, or American. Each by what it looks like.
+_DATES = {r"^[A-Za-z]{4,} ": "MMMM d yyyy", r"^[A-Za-z]{3} ": "MMM d yyyy", r"^\d{1,2} [A-Za-z]{4,} ": "d MMMM yyyy", r"^\d{1,2} [A-Za-z]{3} ": "d MMM yyyy", r"^\d{4}/": "yyyy/M/d", r"^\d{1,2}/": "M/d/yyyy", r"^\d{4} [A-Za-z]{3} ": "yyyy MMM d"}
+_TIMES = {r"[AaPp][Mm]$": " h:mm[:ss] a", r"": "[ H:mm[:ss]]"}
 
 
 def parse_time(v: V) -> V:
@@ -176,18 +176,35 @@ def parse_time(v: V) -> V:
     if v.kind != "str":
         raise Unsupported("parse of something that is no string")
     # Bound to a variable of its own, the rarer forms keep out of the generated code of the usual ones.
-    other = F.get(F.transform(F.array(F.trim(v.col)), _named_date), F.lit(0))
+    other = _bound(F.trim(v.col), _named_date)
     return _result(F.coalesce(iso_instant(v.col), other), "dt", v)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _named_date(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""), r",\s*|\s+", " ")
     zoned = F.regexp_replace(plain, r"(?i)\s*(gmt|utc|z)$", " +0000")
-    offset = F.regexp_extract(zoned, r"\s([+-]\d{2}:?\d{2})$", 1)
-    bare = F.regexp_replace(F.trim(F.regexp_replace(zoned, r"\s[+-]\d{2}:?\d{2}$", "")), r"(?i)(\d)\s*([ap]m)$", "$1 $2")
-    whole = F.concat(bare, F.lit(" "), F.when(offset == "", "+0000").otherwise(F.replace(offset, F.lit(":"), F.lit(""))))
-    looks = bare.rlike(r"^[\w ]+$|^\d+/\d+/\d+( .*)?$|^[\w ]+ \d+:\d+.*$")
-    return F.when(looks, F.coalesce(*(F.try_to_timestamp(whole, F.lit(f"{_DATES}{t} xx")) for t in _TIMES)))
+
+    def parts(z: Column) -> Column:
+        bare = F.regexp_replace(F.trim(F.regexp_replace(z, r"\s[+-]\d{2}:?\d{2}$", "")), r"(?i)(\d)\s*([ap]m)$", "$1 $2")
+        offset = F.regexp_extract(z, r"\s([+-]\d{2}:?\d{2})$", 1)
+        return F.struct(bare.alias("bare"), F.concat(F.lit(" "), F.when(offset == "", "+0000").otherwise(F.replace(offset, F.lit(":"), F.lit("")))).alias("offset"))
+
+    def parsed(p: Column) -> Column:
+        out = None
+        for looks, date in _DATES.items():
+            one = None
+            for ends, time in _TIMES.items():
+                c = F.try_to_timestamp(F.concat(p["bare"], p["offset"]), F.lit(f"{date}{time} xx"))
+                one = F.when(p["bare"].rlike(ends), c) if one is None else one.otherwise(c)
+            out = (F if out is None else out).when(p["bare"].rlike(looks), one)
+        return out
+
+    return _bound(zoned, lambda z: _bound(parts(z), parsed))
 
 
 def _number(v: V) -> Column:

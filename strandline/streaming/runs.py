@@ -51,11 +51,11 @@ def _manifest(spark: SparkSession, folder: str, batch: int) -> dict[int, int]:
     """Bucket of identities -> the batch whose version of it is in force."""
     if batch < 0 or not _exists(spark, f"{folder}/buckets/v{batch}"):
         return {}
-    return {r.bucket: r.version for r in spark.read.parquet(f"{folder}/buckets/v{batch}").collect()}  # at most BUCKETS rows
+    return {r.bucket: r.version for r in spark.read.parquet(f"{folder}/buckets/v{batch}").collect()}  # a row per bucket
 
 
-def _bucket(identity: Column) -> Column:
-    return F.pmod(F.xxhash64(identity), F.lit(BUCKETS)).cast("int")
+def _bucket(identity: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int")
 
 
 def _read(spark: SparkSession, folder: str, name: str, held: dict[int, int]) -> DataFrame | None:
@@ -63,10 +63,10 @@ def _read(spark: SparkSession, folder: str, name: str, held: dict[int, int]) ->
     return spark.read.parquet(*paths) if paths else None
 
 
-def carried_spec(engine: Engine, folder: str, seq: str | None = None) -> Callable[[DataFrame, int], None]:
+def carried_spec(engine: Engine, folder: str, seq: str | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: a spec's blocks, carried on from the version of the batch before.
 
-    Blocks lie in BUCKETS buckets by the hash of their identity. A batch reads and writes those buckets alone that hold
+    Blocks lie in ``buckets`` buckets, always as many in one folder, by the hash of their identity. A batch reads and writes those buckets alone that hold
     an identity of its events; the others stay where they are, and a small table says which version of each bucket
     counts. Versions that no batch can be run again from are removed.
     """
@@ -74,12 +74,12 @@ def carried_spec(engine: Engine, folder: str, seq: str | None = None) -> Callabl
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = _manifest(spark, folder, number - 1)
-        touched = {r.b for r in engine.keyed(batch, seq).df.select(_bucket(F.col("_id")).alias("b")).distinct().collect()}
+        touched = {r.b for r in engine.keyed(batch, seq).df.select(_bucket(F.col("_id"), buckets).alias("b")).distinct().collect()}
         mine = {b: v for b, v in before.items() if b in touched}
         names = [a.name for a in engine.stream.aggregates]
         state = {n: df for n in names if (df := _read(spark, folder, n, mine)) is not None} if mine else None
         for name, df in engine.blocks(batch, seq, state, variables=True).items():
-            df.withColumn("_bucket", _bucket(F.col("_identity"))).write.partitionBy("_bucket").mode("overwrite").parquet(f"{folder}/v{number}/{name}")
+            df.withColumn("_bucket", _bucket(F.col("_identity"), buckets)).repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{folder}/v{number}/{name}")
         now = before | dict.fromkeys(touched, number)
         spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets/v{number}")
         for b, v in _manifest(spark, folder, number - 2).items():  # this batch can be run again from the one before alone
