@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.instants import iso_instant, micros, nonblank
+from strandline.session import materialize
 
 _FRAGMENT = "edge boolean, pid int, seq long, k string, s long, e long, n_items long, n_events long"
 
@@ -87,16 +88,14 @@ def sessionize(points: DataFrame, key: Column, instant_us: Column, events: Colum
     ordered = merged.repartitionByRange("k", "t").sortWithinPartitions("k", "t")
     fragments = ordered.mapInArrow(_ordered_scan(gap_s * 1_000_000), _FRAGMENT)
 
-    # A whole session stands alone in its group; only edge fragments meet by key, at most two per partition.
-    whole = ~F.col("edge")
-    grouped = fragments.select(
-        F.when(F.col("edge"), F.col("k")).alias("meet"), F.when(whole, F.col("pid")).alias("pid"), F.when(whole, F.col("seq")).alias("seq"), "k", "s", "e", "n_items", "n_events"
-    )
-    by_start = Window.partitionBy("meet", "pid", "seq").orderBy("s", "e")
+    # Written, since the scan serves twice: whole sessions are done, edge fragments, at most two per partition, meet by key.
+    scanned = materialize(fragments, "session-fragments")
+    columns = [F.col("k").alias("key"), F.col("s").alias("start_us"), F.col("e").alias("end_us"), "n_items", "n_events"]
+    by_start = Window.partitionBy("k").orderBy("s", "e")
     opens = F.when(F.col("s") - F.lag("e").over(by_start) <= gap_s * 1_000_000, 0).otherwise(1)
-    numbered = grouped.withColumn("opens", opens).withColumn("part", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = numbered.groupBy("meet", "pid", "seq", "k", "part").agg(F.min("s").alias("start_us"), F.max("e").alias("end_us"), F.sum("n_items").alias("n_items"), F.sum("n_events").alias("n_events"))
-    return joined.select(F.col("k").alias("key"), "start_us", "end_us", "n_items", "n_events")
+    numbered = scanned.filter("edge").withColumn("opens", opens).withColumn("part", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy("k", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n_items").alias("n_items"), F.sum("n_events").alias("n_events"))
+    return scanned.filter("not edge").select(*columns).unionByName(joined.select(*columns))
 
 
 def put_items(items: DataFrame) -> DataFrame:
