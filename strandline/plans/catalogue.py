@@ -656,6 +656,14 @@ def store_replaced(spark: SparkSession, folder: str) -> DataFrame:
     return shown(kept.load()["session"], _identity="user_id")
 
 
+@query("SELECT event_type AS kind, count(DISTINCT user_id) AS users, count(*) AS events FROM events GROUP BY event_type")
+def store_memory_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks held by the session, asked for in SQL."""
+    kept = store.MemoryStore(spark, "held")
+    kept.save(Engine(stream(aggregate("Identity", "state", [counting("state")], [("kind", "string", "source.event_type")]))).blocks(events(spark, folder), "event_id"))
+    return spark.sql("SELECT kind, count(*) AS users, sum(events) AS events FROM held_state GROUP BY kind")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS kind, count(*) AS events FROM events WHERE user_id = 7 AND event_type = 'click' GROUP BY user_id, event_type")
 def store_point_get(spark: SparkSession, folder: str) -> DataFrame:
     made = Engine(stream(aggregate("Identity", "state", [counting("state")], [("kind", "string", "source.event_type")]))).blocks(events(spark, folder), "event_id")["state"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,38 @@ class Store:
         return gone
 
 
+class MemoryStore:
+    """The blocks of a spec held by the session, as tables that SQL can name: ``<name>_<aggregate>``.
+
+    They are computed when they are saved and kept in memory, on local disk where that is short; lost pieces are computed anew.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.held = spark, name, {}
+
+    def load(self) -> dict[str, DataFrame] | None:
+        """The current blocks by aggregate; None before the first save."""
+        return dict(self.held) or None
+
+    def save(self, blocks: dict[str, DataFrame]) -> None:
+        """Replaces all blocks. They may be computed from the ones that are replaced."""
+        new = {n: df.persist(StorageLevel.MEMORY_AND_DISK) for n, df in blocks.items()}
+        for n, df in new.items():
+            df.count()
+            df.createOrReplaceTempView(f"{self.name}_{n}")
+        old, self.held = self.held, new
+        for n, df in old.items():
+            if n not in new:
+                self.spark.catalog.dropTempView(f"{self.name}_{n}")
+
+    def finalize(self) -> None:
+        """Gives everything up."""
+        for n, df in self.held.items():
+            df.unpersist()
+            self.spark.catalog.dropTempView(f"{self.name}_{n}")
+        self.held = {}
+
+
 def get(blocks: DataFrame, identity: str, start: Column | None = None, **dimensions) -> DataFrame:
     """The block of one key: an identity with the values of its dimensions or, for a session, its start. The filters reach the scan."""
     found = get_all(blocks, identity)

@@ -201,6 +201,30 @@ def test_a_store_is_replaced_from_itself(spark, tmp_path):
     assert kept.finalize() == 1 and sorted(r.id for r in store.Store(spark, str(tmp_path / "kept")).load()["x"].collect()) == [10, 11, 12]
 
 
+def test_a_store_in_memory(spark):
+    kept = store.MemoryStore(spark, "mem")
+    assert kept.load() is None
+    kept.save({"x": spark.range(3), "y": spark.range(1)})
+    kept.save({"x": kept.load()["x"].selectExpr("id + 10 as id")})
+    assert [r.id for r in spark.sql("select id from mem_x order by id").collect()] == [10, 11, 12] and not spark.catalog.tableExists("mem_y")
+    kept.finalize()
+    assert kept.load() is None and not spark.catalog.tableExists("mem_x")
+
+
+def test_lines_of_every_kind(spark, tmp_path):
+    lines = ['{"a": 1, "b": {"x": "1", "y-z": [1, 2]}, "it\'s": 5, "n": null}', '{"a": "1", "b": {"x": 2}}', '{"a": [1], "b": null, "big": 12345678901234567890}', '{"a": 1, "a": 2}', '"text"', "12", "null", "  ", '{"open": ', "[]"]
+    (tmp_path / "l.json").write_text("\n".join(lines) + "\n")
+    found = readers.json_lines(spark, str(tmp_path / "l.json"))
+    assert {f.name: f.dataType.simpleString() for f in found.schema if f.name != "_order"} == {"a": "variant", "b": "struct<x:variant,y-z:array<bigint>>", "big": "double", "it's": "bigint", "n": "string"}
+    assert [(r["it's"], r.n) for r in found.orderBy("_order").collect()] == [(5, None), (None, None), (None, None)]
+    typed = readers.json_lines(spark, str(tmp_path / "l.json"), "a long, b struct<x:long,`y-z`:array<string>>, missing double, `it's` string").orderBy("_order").drop("_order").collect()
+    assert [(r.a, r.b and (r.b.x, r.b["y-z"]), r.missing, r["it's"]) for r in typed] == [(1, (1, ["1", "2"]), None, "5"), (1, (2, None), None, None), (None, None, None, None)]
+    assert readers.json_rejects(spark, str(tmp_path / "l.json")) == {"lines": 10, "blank": 1, "no_object": 6}
+    (tmp_path / "none.json").write_text("")
+    assert readers.json_lines(spark, str(tmp_path / "none.json")).count() == 0
+    assert readers.json_lines(spark, str(tmp_path / "none.json"), "a long").count() == 0
+
+
 def test_items_for_a_key_value_table(spark, tmp_path):
     from strandline.plans.catalogue import FileClient
     from tests.test_engine import beds
