@@ -595,6 +595,12 @@ def window_python(spark: SparkSession, folder: str) -> DataFrame:
     return near(spark, folder, windows(window("last", "count", -3, fields)))
 
 
+@query(f"{_NEAR}, p AS (SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM events GROUP BY 1) SELECT a.user_id, a.st AS start_time, b.n AS last_events FROM ranked a JOIN ranked b ON b.user_id = a.user_id AND b.i = a.i - 1 JOIN p ON p.user_id = a.user_id WHERE p.n > 65 AND a.n > 0")
+def window_spec_when(spark: SparkSession, folder: str) -> DataFrame:
+    """A condition of the whole window spec leaves anchors out."""
+    return near(spark, folder, windows(window("last", "count", -1, [("events", "integer", "source.events[0]")])) | {"When": "own.state.events > 65"})
+
+
 def _featured(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     spec = windows(window("week", "day", -7, [("events", "integer", "sum(source.events)")]), window("last", "count", -1, [("kind", "string", "source.last_type[0]")]))
     engine = Engine(session_spec(GAP), spec)
