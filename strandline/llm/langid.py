@@ -308,13 +308,14 @@ def _fuse(langs: list[str], declared: Declarations):
             each = _softmax(ll + stay[best[owner]])
             top = each.argmax(axis=1) if len(each) else np.zeros(0, int)
             out = np.flatnonzero(top != best[owner])
-            ids, name = c["_id"].to_numpy(zero_copy_only=False), np.array(langs, object)
+            name = np.array(langs, object)
             right = np.array([x == langs[k] for x, k in zip(labels, best)])
             columns = [
-                np.concatenate([ids, ids[owner[out]]]), np.concatenate([np.full(b.num_rows, -1), _flat(c["_cell"], "<i4")[0][out]]), np.concatenate([np.full(b.num_rows, -1), _flat(c["_para"], "<i4")[0][out]]),
+                np.concatenate([np.full(b.num_rows, -1), _flat(c["_cell"], "<i4")[0][out]]), np.concatenate([np.full(b.num_rows, -1), _flat(c["_para"], "<i4")[0][out]]),
                 np.concatenate([name[best], name[top[out]]]), np.concatenate([post[np.arange(b.num_rows), best], each[out, top[out]]]), np.concatenate([(counts > 0) & ~right, np.ones(len(out), bool)]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True).cast(t) for x, t in zip(columns, types)], names=names)
+            ids = pa.concat_arrays([c["_id"], c["_id"].take(pa.array(owner[out]))])  # null or beyond what a float holds, too
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x).cast(t) for x, t in zip(columns, types[1:]))], names=names)
 
     return run
 
@@ -418,3 +419,21 @@ def declarations(spoken: DataFrame, langs: list[str]) -> Declarations:
     spread = lambda counts: {k: np.log(v / sum(counts.values())) for k, v in counts.items()}
     overall = sum(label_c.values()) - len(kinds) + 1
     return Declarations(spread(label_c), spread(ending_c), overall / overall.sum())
+
+
+def languages_check(judged: DataFrame, docs: DataFrame, samples: DataFrame, text: str = "text") -> DataFrame:
+    """What must hold of all rows, as one: (n_docs, n_doc_rows, n_bad_confidence, n_unknown, n_no_paragraph, n_as_document).
+
+    Documents, and rows of documents; confidences that are null or not in (0, 1]; languages that no sample has; rows of
+    paragraphs in cells that are not prose; rows of paragraphs in the language of their document. Ids must be unique.
+    """
+    langs = sorted({lang for lang, _ in labelled_samples(samples)})
+    whole = judged.filter("cell_no = -1").select("doc_id", F.col("lang_found").alias("of"))
+    cells = docs.select("doc_id", F.transform(_cells(F.col(text)), lambda c: c["i"]).alias("prose"))
+    part = judged.filter("cell_no >= 0").join(whole, "doc_id", "left").join(cells, "doc_id", "left")
+    wrong = part.agg(F.count_if(~F.coalesce(F.array_contains("prose", F.col("cell_no")), F.lit(False)) | (F.col("para_no") < 0)).alias("n_no_paragraph"), F.count_if(F.col("of").eqNullSafe(F.col("lang_found"))).alias("n_as_document"))
+    sure = F.coalesce((F.col("confidence") > 0) & (F.col("confidence") <= 1), F.lit(False))
+    every = judged.agg(F.count_if(F.col("cell_no") == -1).alias("n_doc_rows"), F.count_if(~sure).alias("n_bad_confidence"), F.count_if(~F.coalesce(F.col("lang_found").isin(langs), F.lit(False))).alias("n_unknown"))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    one = F.lit(1).alias("one")  # each is a single row
+    return n_docs.select(one, "*").join(every.select(one, "*"), "one").join(wrong.select(one, "*"), "one").drop("one")

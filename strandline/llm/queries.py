@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import langid, mixing, packing
+from strandline.session import materialize
 from strandline.tables import table
 
 
@@ -92,7 +93,13 @@ b AS (SELECT *, target_share * (SELECT {total}) AS budget FROM z),
 e AS (SELECT *, CASE WHEN size = 0 THEN max_repeats ELSE least(max_repeats, CAST(floor(budget / size + 1e-9) AS INTEGER)) END AS epochs FROM b)
 SELECT source, target_share, max_repeats, size, round(budget, 3) AS budget, epochs, size * max_repeats < budget AND ({ran_out}) AS exhausted FROM e"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_packing, p6_report, p6_check, p7_found, p7_selection, p7_report, p7_fit_report, p7_budgets, p7_fit_budgets, p7_check, p8_found, p8_languages)}
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of p8_languages."""
+    judged = materialize(_identified(spark, folder), "judged-documents")
+    return langid.languages_check(judged, table(spark, folder, "documents"), table(spark, folder, "lang_samples"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_packing, p6_report, p6_check, p7_found, p7_selection, p7_report, p7_fit_report, p7_budgets, p7_fit_budgets, p7_check, p8_found, p8_languages, p8_check)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """SELECT b.bin_name, d.doc_id FROM documents d JOIN pack_bins b ON strlen(d.text) > b.capacity_tokens""",
@@ -103,6 +110,8 @@ FROM documents d, pack_bins b GROUP BY b.bin_name""",
     "p7_fit_budgets": _BUDGETS.format(total="min(size * max_repeats / target_share) FROM z WHERE size > 0 AND target_share > 0", ran_out="size = 0"),
     "p7_check": """SELECT lower(trim(source)) AS source, 0::BIGINT AS n_foreign, 0::BIGINT AS n_wrong_size, 0::BIGINT AS n_above_cap, 0::BIGINT AS n_uneven,
   0 AS off_budget, 0 AS off_share FROM mix_targets""",
+    "p8_check": """SELECT count(*) AS n_docs, count(*) AS n_doc_rows, 0::BIGINT AS n_bad_confidence, 0::BIGINT AS n_unknown, 0::BIGINT AS n_no_paragraph,
+  0::BIGINT AS n_as_document FROM documents""",
     "p7_found": """WITH sizes AS (SELECT lower(trim(source)) AS s, sum(strlen(text)) AS n FROM documents GROUP BY 1)
 SELECT t.source FROM mix_targets t LEFT JOIN sizes z ON z.s = lower(trim(t.source))
 WHERE coalesce(z.n, 0) * t.max_repeats < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",

@@ -123,6 +123,20 @@ def test_empty_table_repeated_rows_and_a_very_long_text(spark, samples):
     assert sorted((r.cell_no, r.para_no, r.lang_found) for r in got) == [(-1, -1, "en")] * 2 + [(2, 0, "fr")] * 2
 
 
+def test_ids_are_kept_as_they_are_beside_a_null_one(spark, samples):
+    large = 2**60 + 1
+    rows = [(large, cells(EN, FR), "en", "p", "h", "s"), (None, cells(f"{EN}\n\n{EN}", FR), "en", "p", "h", "s")]
+    got = run(spark, samples, rows)
+    assert set(got) == {(d, c, p) for d in (large, None) for c, p in ((-1, -1), (1, 0))}
+
+
+def test_the_check_finds_what_is_wrong(spark, samples):
+    docs = spark.createDataFrame([(1, cells(EN, "!x = 1", FR)), (2, None)], "doc_id long, text string")
+    check = lambda rows: tuple(langid.languages_check(spark.createDataFrame(rows, langid._JUDGED), docs, samples).collect()[0])
+    assert check([(1, -1, -1, "en", 0.9, True), (1, 2, 0, "fr", 1.0, True), (2, -1, -1, "en", 0.1, False)]) == (2, 2, 0, 0, 0, 0)
+    assert check([(1, -1, -1, "en", 1.1, True), (1, 1, 0, "fr", None, True), (1, 2, 0, "en", 0.5, True), (1, 0, 0, "xx", 0.5, True)]) == (2, 1, 2, 1, 1, 1)
+
+
 def test_paragraphs_and_words():
     assert langid.paragraphs_of("\n a\nb\n \n\t\nc\n") == [" a\nb", "c"]
     assert langid.paragraphs_of("") == []
