@@ -131,7 +131,7 @@ def features(stream: StreamSpec, spec: WindowSpec, blocks: dict[str, DataFrame],
     shapes = _shapes(base)
 
     lookups: dict[str, dict[str, V]] = {}
-    texts = [spec.condition, *(x for a in spec.aggregates for f in a.fields for x in (f.value, f.when) if x)]
+    texts = [x for x in (spec.condition, spec.when, *(a.when for a in spec.aggregates), *(x for a in spec.aggregates for f in a.fields for x in (f.value, f.when))) if x]
     for other in stream.aggregates:
         if other.kind != "identity" or not any(f"{stream.name}.{other.name}" in x for x in texts):
             continue
