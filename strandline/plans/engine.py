@@ -86,7 +86,7 @@ def rule_of(agg: str, f: Field) -> tuple[Rule, ast.AST | None]:
                 return Rule("last", (value,)), None  # events come in order of time, so every one is at the end so far
     if free(value):
         names = {n.id for n in ast.walk(value) if isinstance(n, ast.Name)}
-        if names == {"time", agg} and f.type in ("integer", "float") and attributes_of(ast.unparse(value), agg) == {"_start_time"}:
+        if names - {"int", "float", "abs", "round"} == {"time", agg} and f.type in ("integer", "float") and attributes_of(ast.unparse(value), agg) == {"_start_time"}:
             return Rule("since", (value,)), when
         return Rule("last", (value,)), when
     if isinstance(value, ast.BinOp) and isinstance(value.op, ast.Add):

@@ -43,8 +43,7 @@ def _attribute(name: str, t: T.DataType) -> Column:
 
 def _objects(lines: DataFrame) -> DataFrame:
     """``lines`` with ``_object``, the line's JSON object; null where the line is none."""
-    parsed = F.try_parse_json("value")
-    return lines.withColumn("_parsed", parsed).withColumn("_object", F.when(F.schema_of_variant("_parsed").startswith("OBJECT"), F.col("_parsed"))).drop("_parsed")
+    return lines.withColumn("_object", F.when(F.col("value").rlike(r"^\s*\{"), F.try_parse_json("value")))
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, lines: DataFrame | None = None) -> DataFrame:

@@ -269,6 +269,17 @@ def test_sessions_and_identities_share_fragments(spark, more):
         assert "ExistingRDD" not in plan and ("fragments" in plan) == (name != "daily")
 
 
+def test_time_since_a_start_in_its_several_forms(spark):
+    rows = [("a", 0, 1), ("a", 90_000, 2), ("a", 200_000, None), ("b", 5, None)]
+    df = spark.createDataFrame([(u, dt.datetime(2021, 5, 3) + dt.timedelta(seconds=s), v, i) for i, (u, s, v) in enumerate(rows)], "u string, t timestamp, v long, seq long")
+    forms = {"days": "(time - b._start_time).days", "whole": "int((time - b._start_time).total_seconds() / 3600)", "back": "abs((b._start_time - time).total_seconds())", "hour": "time.hour - b._start_time.hour", "mixed": "(time - b._start_time).days + source.v", "late": "(time - b._start_time).days"}
+    fields = [(n, "float", x, *(["source.v"] if n == "late" else [])) for n, x in forms.items()]
+    spec = stream(aggregate("Block", "b", fields, [("u", "string", "source.u")]), identity="source.u", time="source.t")
+    for fold in (False, True):
+        got = {r._identity: tuple(r[n] for n in forms) for r in Engine(spec).blocks(df, "seq", fold=fold)["b"].collect()}
+        assert got == {"a": (2.0, 55.0, 200_000.0, 7.0, 3.0, 1.0), "b": (0.0,) * 6}, fold
+
+
 def test_values_at_a_start_need_no_window(spark):
     plan = Engine(LIBRARY).blocks(spark.createDataFrame([], LIBRARY_SCHEMA), "seq")["stay"]._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
