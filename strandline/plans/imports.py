@@ -82,6 +82,8 @@ def resolve(imports: Iterable[tuple[str, tuple[str, ...]]], given: Iterable[str]
                 continue
             if callable(ALLOWED[module][f]):
                 plain[known_as] = ALLOWED[module][f]
+                if ALLOWED[module][f] is dt.datetime:
+                    plain |= {f"{known_as}.{x}": interpret._FUNCTIONS[f"datetime.{x}"] for x in ("strptime", "fromtimestamp")}
             if f"{module}.{f}" in NATIVE:
                 native[known_as] = NATIVE[f"{module}.{f}"]
     return plain, native

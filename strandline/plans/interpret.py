@@ -85,6 +85,13 @@ def _times(a: Any, b: Any) -> Any:
     return a * b
 
 
+def _remainder(a: Any, b: Any) -> Any:
+    if isinstance(a, str):
+        if "*" in a or any(len(x) > 4 for x in "".join(c if c.isdigit() else " " for c in a).split()):
+            raise ValueError(a)
+    return a % b
+
+
 def _power(a: Any, b: Any) -> Any:
     if isinstance(a, int) and isinstance(b, int) and b > 0 and a.bit_length() * b > 10_000:
         raise OverflowError
@@ -111,7 +118,7 @@ _FUNCTIONS = {
 }
 _CONSTANTS = {"timezone.utc": dt.timezone.utc, "datetime.timezone.utc": dt.timezone.utc}
 _OPS = {
-    ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: _times, ast.Div: lambda a, b: a / b, ast.FloorDiv: lambda a, b: a // b, ast.Mod: lambda a, b: a % b, ast.Pow: _power,
+    ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: _times, ast.Div: lambda a, b: a / b, ast.FloorDiv: lambda a, b: a // b, ast.Mod: _remainder, ast.Pow: _power,
     ast.BitAnd: lambda a, b: a & b, ast.BitOr: lambda a, b: a | b, ast.BitXor: lambda a, b: a ^ b, ast.LShift: _shifted, ast.RShift: lambda a, b: a >> b,
     ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b,
     ast.Is: lambda a, b: a is b, ast.IsNot: lambda a, b: a is not b, ast.In: lambda a, b: a in b, ast.NotIn: lambda a, b: a not in b,

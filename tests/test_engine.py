@@ -240,6 +240,8 @@ def test_imports_are_looked_up_in_a_list(spark):
     for bad in ({"Module": "os"}, {"Module": "math", "Identifiers": ["nothing"]}, {"Module": "subprocess", "Identifiers": ["run"]}):
         with pytest.raises(UnknownImport):
             Engine(spec | {"Import": [bad]})
+    dated = stream(aggregate("Identity", "s", [("a", "datetime", "D.strptime('3.4.2020', '%d.%m.%Y')"), ("b", "datetime", "d.datetime.fromtimestamp(5)"), ("c", "datetime", "D(2020, 1, 2)")]), identity="source.u", time="source.t", Import=[{"Module": "datetime", "Identifiers": ["datetime as D"]}, {"Module": "datetime as d"}])
+    assert tuple(Engine(dated).blocks(df)["s"].collect()[0])[1:] == (dt.datetime(2020, 4, 3), dt.datetime(1970, 1, 1, 0, 0, 5), dt.datetime(2020, 1, 2))
     own = spec | {"Import": [{"Module": "our.own", "Identifiers": ["mean"]}, {"Module": "math"}, {"Module": "math", "Identifiers": ["sqrt as root"]}, {"Module": "dateutil.parser", "Identifiers": ["parse as p"]}, {"Module": "datetime"}]}
     assert Engine(own, python_functions={"mean": lambda x: -1.0}).blocks(df)["s"].collect()[0].c == -1.0
 

@@ -70,7 +70,7 @@ def test_what_is_not_on_the_list_is_refused_before_anything_runs(spark, frame, t
 
 
 def test_formats_see_no_attributes_and_sizes_are_bounded(spark, frame):
-    texts = ["'{0.__class__}'.format(source.s)", "'{:99999999}'.format(source.i)", "source.s * 10 ** 8", "10 ** 10 ** 6", "source.s.ljust(10 ** 9)", "'x' + str(2 << 10 ** 6)"]
+    texts = ["'{0.__class__}'.format(source.s)", "'{:99999999}'.format(source.i)", "source.s * 10 ** 8", "10 ** 10 ** 6", "source.s.ljust(10 ** 9)", "'x' + str(2 << 10 ** 6)", "'%999999999d' % source.i", "'%*d' % (10 ** 9, 1)"]
     got = Engine(per_event([(f"x{i}", "string", t) for i, t in enumerate(texts)])).blocks(frame)["x"].collect()[0]
     assert [got[f"x{i}"] for i in range(len(texts))] == [""] * len(texts)
 
